@@ -25,14 +25,17 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import plain, slices
+from .common import SLICE_CHARS, plain, slices
 
+#: Punctuation that stands behind words.
+_ENDING = ".,;:!?%&$*#"
 #: Words that a worker remembers; beyond that it starts anew.
-MEMO = 700_000
+MEMO = 1_000_000
 
 
 def differencing(sizes: list[int], k: int) -> list[list[int]]:
@@ -75,7 +78,7 @@ def windows(sizes: list[int], capacity: int) -> list[list[int]]:
     """Sets of items of at most ``capacity`` each; no item is larger than that."""
     if not sizes:
         return []
-    k = -(-sum(sizes) // capacity)
+    k = -(-sum(sizes) // (capacity - capacity // 512))  # some slack, as sums are only near-equal
     while True:
         out = differencing(sizes, k)
         if max(sum(sizes[i] for i in x) for x in out) <= capacity:
@@ -86,8 +89,11 @@ def windows(sizes: list[int], capacity: int) -> list[list[int]]:
 class WordIds:
     """Ids of texts as bytes, by a tokenizer that drops white space and case.
 
-    What stands between spaces and line ends is remembered; punctuation behind
-    a letter or digit makes a token of its own there, so it is looked up apart.
+    What stands between spaces and line ends is a word; punctuation behind its
+    last letter or digit makes a token of its own there, so words are put
+    together from remembered cores and endings.  New cores of Latin letters,
+    which are one pretoken each, are encoded many at a time and parted at the
+    tokens that end a word.
     """
 
     def __init__(self, path: str):
@@ -95,33 +101,63 @@ class WordIds:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {}
-        self.cores: dict[str, bytes] = {"": b""}
-
-    @staticmethod
-    def _split(word: str) -> tuple[str, str]:
-        if "<|" in word:  # it may hold a special token's string, which has a case of its own
-            return word, ""
-        core = word.rstrip(".,;:!?%&$*#")
-        if core and core != word and core[-1].isalnum():
-            return core.lower() if core.isascii() else core, word[len(core) :]
-        return word.lower() if word.isascii() else word, ""
-
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        parts = [t.replace("\n", " ").split(" ") for t in texts]
-        words = set().union(*parts)
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for w, i in vocabulary.items() if w.endswith("</w>")]] = True
+        self.known: dict[str, bytes] = {"": b""}
+
+    def _encode(self, words: list[str]) -> list[bytes]:
+        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+
+    def _learn(self, words: set[str]) -> None:
+        """Adds new cores and endings."""
+        letters = [w for w in words if w.isalpha() and max(w) < "\u0250"]
+        rest = list(words.difference(letters))
+        groups = [letters[i : i + 256] for i in range(0, len(letters), 256)]
+        for group, e in zip(groups, self.tokenizer.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False), strict=True):
+            ids = np.array(e.ids, "<u4")
+            cut = np.flatnonzero(self.ends[ids]) + 1
+            if len(cut) == len(group) and cut[-1] == len(ids):
+                raw, at = ids.tobytes(), 0
+                for w, end in zip(group, (4 * cut).tolist(), strict=True):
+                    self.known[w] = raw[at:end]
+                    at = end
+            else:
+                rest += group
+        self.known.update(zip(rest, self._encode(rest), strict=True))
+
+    def _flat(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For distinct words: all their ids in one array, and each one's start and length there."""
+        strings = words.to_pylist()
+        if new := set(strings).difference(self.known):
+            self._learn(new)
+        found = list(map(self.known.__getitem__, strings))
+        size = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        return np.frombuffer(b"".join(found), "<u4"), np.cumsum(size) - size, size
+
+    def __call__(self, texts: pa.Array) -> list[bytes]:
+        """Little-endian ids of each text."""
+        lists = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
+        coded = lists.flatten().dictionary_encode()
+        word, which = coded.dictionary, np.asarray(coded.indices)
+        core, ending = pc.utf8_rtrim(word, _ENDING), pc.struct_field(pc.extract_regex(word, "(?P<e>[" + _ENDING + "]*)$"), "e")
+        apart = pc.and_(pc.match_substring_regex(core, r"[\p{L}\p{N}]$"), pc.invert(pc.match_substring(word, "<|")))
+        core, ending = pc.if_else(apart, core, word), pc.if_else(apart, ending, "")
+        # A special token's string has a case of its own; one capital's lower case is two characters.
+        core = pc.if_else(pc.match_substring_regex(word, "<\\||\u0130"), core, pc.utf8_lower(core))
         if len(self.known) > MEMO:
-            self.known = {}
-        if len(self.cores) > MEMO:
-            self.cores = {"": b""}
-        split = [(w, *self._split(w)) for w in words.difference(self.known)]
-        new = list({x for _, a, b in split for x in (a, b)}.difference(self.cores))
-        for w, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            self.cores[w] = array("I", e.ids).tobytes()
-        for w, a, b in split:
-            self.known[w] = self.cores[a] + self.cores[b]
-        get = self.known.__getitem__
-        return [b"".join(map(get, p)) for p in parts]
+            self.known = {"": b""}
+        core, ending = core.dictionary_encode(), ending.dictionary_encode()
+        ids, start, size = self._flat(core.dictionary)
+        end_ids, end_start, end_size = self._flat(ending.dictionary)
+        of_core, of_end = np.asarray(core.indices)[which], np.asarray(ending.indices)[which]
+        starts, sizes = np.empty(2 * len(which), np.int64), np.empty(2 * len(which), np.int64)
+        starts[::2], sizes[::2] = start[of_core], size[of_core]
+        starts[1::2], sizes[1::2] = end_start[of_end] + len(ids), end_size[of_end]
+        ends = np.cumsum(sizes)
+        raw = np.concatenate([ids, end_ids])[np.repeat(starts - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)].tobytes()
+        cut = 4 * np.r_[0, ends][2 * np.asarray(lists.offsets)]
+        return [raw[x:y] for x, y in zip(cut.tolist(), cut[1:].tolist(), strict=False)]
 
 
 @lru_cache(maxsize=2)
@@ -168,9 +204,9 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 2048, closing: int = 1
         for batch in batches:
             like, texts = batch.column(0).type, plain(batch.column(1))
             keys = batch.column(0).to_pylist()
-            for a, b in slices(texts):
+            for a, b in slices(texts, 3 * SLICE_CHARS):
                 rows = []
-                for k, ids in zip(keys[a:b], own(texts.slice(a, b - a).to_pylist()), strict=True):
+                for k, ids in zip(keys[a:b], own(texts.slice(a, b - a)), strict=True):
                     ids += end
                     total = len(ids) // 4
                     whole = total // capacity * capacity
