@@ -1,0 +1 @@
+"""Column expressions: geometry, cells and fingerprints."""

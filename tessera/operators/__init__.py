@@ -1,0 +1 @@
+"""Operators: spatial joins, indexes, aggregates, orderings and checks."""

@@ -1,0 +1 @@
+"""Sources and sinks: generators, GeoJSON, Parquet and binary interchange files."""
