@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 
 def slot(v: Column, low: float, high: float, n: int) -> Column:
-    """Which of n equal intervals a value lies in, clamped to the first and last; rises with the value."""
+    """Which of n equal intervals a value lies in, clamped to the first and last; rises with the value, and NaN is in the last."""
     scaled = (v - F.lit(float(low))) / F.lit(float(high) - float(low)) * F.lit(float(n))
-    return F.least(F.greatest(F.floor(scaled).cast("int"), F.lit(0)), F.lit(n - 1))
+    return F.floor(F.least(F.greatest(scaled, F.lit(0.0)), F.lit(n - 1.0))).cast("int")
 
 
 def stripe_of(x: Column, low: float, high: float, n: int) -> Column:
@@ -29,6 +29,11 @@ def stripe_bounds(stripe: Column, low: float, high: float, n: int) -> list[Colum
     return [start.alias("lo"), F.when(stripe == n - 1, F.lit(float(high))).otherwise(F.lit(float(low)) + (stripe + 1) * F.lit(width)).alias("hi")]
 
 
+def meets_stripe(min_x: Column, max_x: Column, lo: Column, hi: Column) -> Column:
+    """Whether closed bounds meet a stripe's closed ends."""
+    return (max_x >= lo) & (min_x <= hi)
+
+
 def _spread(v: Column) -> Column:
     """The low 16 bits of a long with a zero bit before each."""
     v = v.bitwiseAND(0xFFFF)

@@ -53,10 +53,11 @@ def imbalance(classified: DataFrame, domain: Domain, n: int) -> DataFrame:
 
 
 def shard_copies(polygons: DataFrame, domain: Domain, n: int) -> DataFrame:
-    """Polygons that each stripe holds, copies on boundaries included."""
-    from tessera.operators.join import spread
-
-    return spread(prepared(polygons), "stripe", "x", domain.min_x, domain.max_x, n).groupBy("stripe").agg(F.count("*").alias("polygons"))
+    """Parts that each stripe holds if it takes all whose closed bounds meet its closed ends, copies included."""
+    slots = {side: C.stripe_of(F.col(f"{side}_x"), domain.min_x, domain.max_x, n) for side in ("min", "max")}
+    near = prepared(polygons).withColumn("stripe", F.explode(F.sequence(F.greatest(slots["min"] - 1, F.lit(0)), F.least(slots["max"] + 1, F.lit(n - 1)))))
+    ends = near.select("min_x", "max_x", "stripe", *C.stripe_bounds(F.col("stripe"), domain.min_x, domain.max_x, n))
+    return ends.where(C.meets_stripe(F.col("min_x"), F.col("max_x"), F.col("lo"), F.col("hi"))).groupBy("stripe").agg(F.count("*").alias("polygons"))
 
 
 def throughput(metrics: DataFrame) -> DataFrame:

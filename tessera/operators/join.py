@@ -134,10 +134,20 @@ def _candidates(points: DataFrame, parts: DataFrame, e: Extent, strategy: str, n
 
 
 def classify(points: DataFrame, polygons: DataFrame, strategy: str = "cells", boundary: str = G.INCLUSIVE, n: int | None = None) -> DataFrame:
-    """Points with polygon_id and cls.  ``point_id`` identifies a point; equal rows count once but for ``cells``."""
+    """Points with polygon_id and cls, which replace columns of these names.
+
+    Other columns of points are kept, whatever their names.  ``point_id``
+    identifies a point: repeated rows come back once, but ``cells`` and
+    ``morton`` keep each.
+    """
     if strategy not in STRATEGIES:
         raise ValueError(f"unknown strategy {strategy!r}; one of {', '.join(STRATEGIES)}")
-    parts = prepared(polygons)
+    kept = [c for c in points.columns if c.lower() not in ("polygon_id", "cls")]
+    own = points.select(*[F.col(f"`{c}`").alias(c if c in ("point_id", "x", "y") else f"_own_{i}") for i, c in enumerate(kept)])
+    return _classify(own, prepared(polygons), strategy, boundary, n).toDF(*kept, "polygon_id", "cls")
+
+
+def _classify(points: DataFrame, parts: DataFrame, strategy: str, boundary: str, n: int | None) -> DataFrame:
     e = extent(parts)
     if strategy in ("cells", "morton"):
         from tessera.operators.order import morton_sorted

@@ -118,10 +118,8 @@ FROM classified JOIN nation ON polygon_id = n_nationkey JOIN region ON n_regionk
 register(
     "shard_copies",
     lambda s, d: A.shard_copies(generate.grid(s, 100, 100), D, 4),
-    """SELECT stripe, count(*) AS polygons FROM (
-  SELECT unnest(range(least(greatest(CAST(floor(CAST(i % 100 AS DOUBLE) / 25.0) AS INTEGER), 0), 3),
-    least(greatest(CAST(floor(CAST(i % 100 + 1 AS DOUBLE) / 25.0) AS INTEGER), 0), 3) + 1)) AS s, i FROM range(10000) t(i)) u(s, i),
-  LATERAL (SELECT CAST(s AS INTEGER) AS stripe) GROUP BY stripe""",
+    """SELECT CAST(s AS INTEGER) AS stripe, count(*) AS polygons FROM range(10000) t(i) JOIN range(4) u(s)
+  ON i % 100 + 1 >= 25 * s AND i % 100 <= 25 * (s + 1) GROUP BY s""",
 )
 register(
     "strip_candidates",
