@@ -9,7 +9,7 @@ the point; null if none) and cls.  All strategies give the same rows:
 * ``brute``: a nested-loop join on bounds alone.
 * ``strip``, ``stripe``, ``quadtree``: an equi-join on a cell key with the bounds as
   residual, then the smallest match for each point.
-* ``replicated``, ``sharded``: the stripe join with the polygons sent to all tasks,
+* ``replicated``, ``sharded``: the stripe join (by strip within a stripe) with the polygons sent to all tasks,
   or dealt to the points' stripes by a shuffle.
 * ``morton``: ``cells`` over points in Z-order.
 
@@ -20,7 +20,9 @@ Points with null or NaN coordinates match nothing.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -29,6 +31,7 @@ from tessera.functions import cells as C
 from tessera.functions import geometry as G
 from tessera.model import Domain, prepared
 from tessera.operators import quadtree
+from tessera.operators.order import morton_sorted
 
 #: Bytes of prepared polygons up to which they go to all tasks.
 BROADCAST = 64 << 20
@@ -91,22 +94,52 @@ def _divisions(side: float, mean: float) -> int:
     return max(1, min(MOST_CELLS, round(side / mean) if mean > 0 else MOST_CELLS))
 
 
-def _cells(points: DataFrame, parts: DataFrame, e: Extent, boundary: str) -> DataFrame | None:
+@dataclass(frozen=True)
+class CellIndex:
+    """Polygons by grid cell, made once for many point sets: rows cx, cy, near (candidates in order)."""
+
+    extent: Extent
+    nx: int
+    ny: int
+    boxes: bool
+    size: int
+    table: DataFrame
+
+
+def cell_index(polygons: DataFrame) -> CellIndex | None:
+    """The index, or None if a cell has more than ``GATHERED`` candidates, where joins by row serve better."""
+    parts = prepared(polygons)
+    index = _cell_index(parts, extent(parts))
+    return index and replace(index, table=index.table.persist())
+
+
+def _cell_index(parts: DataFrame, e: Extent) -> CellIndex | None:
     d = e.domain
     nx, ny = _divisions(d.max_x - d.min_x, e.width), _divisions(d.max_y - d.min_y, e.height)
-    fields = ("polygon_id", "part_no", "min_x", "min_y", "max_x", "max_y", "box", "outer", "inner")
     dealt = spread(spread(parts, "cx", "x", d.min_x, d.max_x, nx), "cy", "y", d.min_y, d.max_y, ny)
-    crowd = dealt.groupBy("cx", "cy").count().agg(F.max("count"), F.sum("count")).first()
+    crowd = dealt.groupBy("cx", "cy").agg(F.count("*").alias("n"), F.every("box").alias("boxes")).agg(F.max("n"), F.sum("n"), F.every("boxes")).first()
     if (crowd[0] or 0) > GATHERED:
         return None
+    boxes = bool(crowd[2])
+    fields = ("polygon_id", "part_no", "min_x", "min_y", "max_x", "max_y", *(() if boxes else ("box", "outer", "inner")))
     table = dealt.groupBy("cx", "cy").agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("near"))
-    copies = (crowd[1] or 0) / max(1, e.count)
-    x, y = F.col("x"), F.col("y")
-    keyed = points.withColumns({"cx": C.slot(x, d.min_x, d.max_x, nx), "cy": C.slot(y, d.min_y, d.max_y, ny)})
-    met = keyed.join(hinted(table, int(e.bytes * copies)), ["cx", "cy"], "left")
-    hits = F.transform(F.filter("near", lambda c: in_bounds(x, y, c)), lambda c: F.struct(c.polygon_id.alias("polygon_id"), c.part_no.alias("part_no"), exact(boundary, x, y, c).alias("cls")))
-    first = F.get(F.filter(hits, lambda h: h.cls != G.OUTSIDE), F.lit(0))  # candidates are in order of polygon and part
-    return met.withColumn("_hit", first).select(*points.columns, F.col("_hit.polygon_id").alias("polygon_id"), F.coalesce("_hit.cls", F.lit(G.OUTSIDE)).alias("cls"))
+    return CellIndex(e, nx, ny, boxes, int(e.bytes * (crowd[1] or 0) / max(1, e.count)), table)
+
+
+def _look_up(points: DataFrame, index: CellIndex, boundary: str) -> DataFrame:
+    """Each point with the first of its cell's candidates that contains it."""
+    d, x, y = index.extent.domain, F.col("x"), F.col("y")
+    keyed = points.withColumns({"cx": C.slot(x, d.min_x, d.max_x, index.nx), "cy": C.slot(y, d.min_y, d.max_y, index.ny)})
+    met = keyed.join(hinted(index.table, index.size), ["cx", "cy"], "left")
+    if index.boxes:
+        cls = lambda c: G.box_class(c.min_x, c.min_y, c.max_x, c.max_y, x, y, boundary)
+        holds = (lambda c: in_bounds(x, y, c)) if boundary == G.INCLUSIVE else (lambda c: in_bounds(x, y, c) & (cls(c) != G.OUTSIDE))
+    else:
+        cls = lambda c: exact(boundary, x, y, c)
+        holds = lambda c: in_bounds(x, y, c) & (cls(c) != G.OUTSIDE)
+    hit = met.select(*points.columns, F.get(F.filter("near", holds), F.lit(0)).alias("_hit"))
+    found = F.when(F.col("_hit").isNotNull(), cls(F.col("_hit"))).otherwise(G.OUTSIDE)
+    return hit.select(*points.columns, F.col("_hit.polygon_id").alias("polygon_id"), found.alias("cls"))
 
 
 def candidates(points: DataFrame, polygons: DataFrame, strategy: str = "strip", n: int | None = None) -> DataFrame:
@@ -122,20 +155,22 @@ def _candidates(points: DataFrame, parts: DataFrame, e: Extent, strategy: str, n
         return points.join(F.broadcast(parts) if e.bytes <= BROADCAST else parts, fits, "left")
     if strategy == "quadtree":
         return quadtree.probe(points, parts, d, fits, lambda t: hinted(t, 8 * e.bytes))
-    if strategy == "strip":
-        n = n or _divisions(d.max_y - d.min_y, e.height)
-        key, left, right = "strip", C.strip_of(y, d.min_y, d.max_y, n), spread(parts, "strip", "y", d.min_y, d.max_y, n)
-    else:
-        n = n or 4
-        key, left, right = "stripe", C.stripe_of(x, d.min_x, d.max_x, n), spread(parts, "stripe", "x", d.min_x, d.max_x, n)
+    strips = (n if strategy == "strip" else None) or _divisions(d.max_y - d.min_y, e.height)
+    left = {"_strip": C.strip_of(y, d.min_y, d.max_y, strips)}
+    right = spread(parts, "strip", "y", d.min_y, d.max_y, strips)
+    if strategy != "strip":  # stripes deal the work; strips within them find the candidates
+        left["_stripe"] = C.stripe_of(x, d.min_x, d.max_x, n or 4)
+        right = spread(right, "stripe", "x", d.min_x, d.max_x, n or 4)
     right = right.hint("shuffle_hash") if strategy == "sharded" else hinted(right, 2 * e.bytes)
-    own = points.withColumn("_key", left)
-    return own.join(right.withColumnRenamed(key, "_part"), (F.col("_key") == F.col("_part")) & fits, "left").drop("_key", "_part")
+    same = reduce(and_, (F.col(k) == F.col(k[1:]) for k in left))
+    return points.withColumns(left).join(right, same & fits, "left").drop(*left, *(k[1:] for k in left))
 
 
-def classify(points: DataFrame, polygons: DataFrame, strategy: str = "cells", boundary: str = G.INCLUSIVE, n: int | None = None) -> DataFrame:
+def classify(points: DataFrame, polygons: DataFrame | CellIndex, strategy: str = "cells", boundary: str = G.INCLUSIVE, n: int | None = None) -> DataFrame:
     """Points with polygon_id and cls, which replace columns of these names.
 
+    ``polygons`` may be a ``cell_index`` made before, for many point sets.
+
     Other columns of points are kept, whatever their names.  ``point_id``
     identifies a point: repeated rows come back once, but ``cells`` and
     ``morton`` keep each.
@@ -144,17 +179,20 @@ def classify(points: DataFrame, polygons: DataFrame, strategy: str = "cells", bo
         raise ValueError(f"unknown strategy {strategy!r}; one of {', '.join(STRATEGIES)}")
     kept = [c for c in points.columns if c.lower() not in ("polygon_id", "cls")]
     own = points.select(*[F.col(f"`{c}`").alias(c if c in ("point_id", "x", "y") else f"_own_{i}") for i, c in enumerate(kept)])
-    return _classify(own, prepared(polygons), strategy, boundary, n).toDF(*kept, "polygon_id", "cls")
+    if isinstance(polygons, CellIndex):
+        if strategy not in ("cells", "morton"):
+            raise ValueError("an index of cells serves the strategies cells and morton only")
+        out = _look_up(morton_sorted(own, polygons.extent.domain) if strategy == "morton" else own, polygons, boundary)
+    else:
+        out = _classify(own, prepared(polygons), strategy, boundary, n)
+    return out.toDF(*kept, "polygon_id", "cls")
 
 
 def _classify(points: DataFrame, parts: DataFrame, strategy: str, boundary: str, n: int | None) -> DataFrame:
     e = extent(parts)
     if strategy in ("cells", "morton"):
-        from tessera.operators.order import morton_sorted
-
-        own = morton_sorted(points, e.domain) if strategy == "morton" else points
-        if (out := _cells(own, parts, e, boundary)) is not None:
-            return out
+        if (index := _cell_index(parts, e)) is not None:
+            return _look_up(morton_sorted(points, e.domain) if strategy == "morton" else points, index, boundary)
         strategy = "strip"
     x, y = F.col("x"), F.col("y")
     met = _candidates(points, parts, e, strategy, n)
