@@ -30,12 +30,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SLICE_CHARS, plain, slices
+from .common import SLICE_CHARS, plain, slices, tidy
 
 #: Punctuation that stands behind words.
 _ENDING = ".,;:!?%&$*#"
 #: Words that a worker remembers; beyond that it starts anew.
-MEMO = 1_000_000
+MEMO = 600_000
 
 
 def differencing(sizes: list[int], k: int) -> list[list[int]]:
@@ -221,6 +221,7 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 2048, closing: int = 1
                             rows += flush()
                 if rows:
                     yield table(rows, like)
+            tidy()
         if rest and (rows := flush()):
             yield table(rows, like)
 
