@@ -27,7 +27,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import plain, replace_column, slices
+from .common import plain, replace_column, slices, tidy
 
 LONG = 512
 #: Pretokens that a worker remembers; beyond that it starts anew.
@@ -265,6 +265,7 @@ def round_trip(docs: DataFrame, path: str, pattern: str, text: str = "text") ->
                 n.append(len(ids))
                 a_hex.append(hashlib.sha256(" ".join(words[ids].tolist()).encode()).hexdigest())
                 b_hex.append(hashlib.sha256(own.ranks.decode(ids)).hexdigest())
+        tidy()
         return pa.StructArray.from_arrays([pa.array(n, pa.int64()), pa.array(a_hex, pa.string()), pa.array(b_hex, pa.string())], names=["n", "ids", "decoded"])
 
     out = replace_column(docs, "_bpe", digests(F.col(text)))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import sys
 import tempfile
@@ -17,7 +18,7 @@ ROOT = str(Path(__file__).resolve().parents[2])
 
 #: Characters of text that are worked on at once, so that memory stays bounded
 #: whatever the size of an Arrow batch.
-SLICE_CHARS = 1 << 21
+SLICE_CHARS = 1 << 20
 
 
 def prepare(spark: SparkSession) -> SparkSession:
@@ -50,6 +51,14 @@ def slices(texts: pa.Array, most: int = SLICE_CHARS) -> Iterator[tuple[int, int]
     yield start, n
 
 
+def tidy() -> None:
+    """Gives freed memory back to the system; a worker lives on and would keep it through later stages."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def plain(texts: pa.Array) -> pa.Array:
     """Strings with nulls as empty."""
     if isinstance(texts, pa.ChunkedArray):

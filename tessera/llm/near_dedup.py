@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import hashing as H
-from .common import plain, replace_column, slices
+from .common import plain, slices, tidy
 
 SLOTS, FLOOR = 16, 0.75
 BANDS, ROWS = 16, 4
@@ -74,6 +74,7 @@ def idf_table(docs: DataFrame, text: str = "text") -> np.ndarray:
                 slot = (h >> U(64 - SLOTS)).astype(np.int64)
                 total += np.bincount(slot, minlength=1 << SLOTS)
             n += len(texts)
+            tidy()
         if n:
             used = np.flatnonzero(total)
             yield pa.RecordBatch.from_arrays([pa.array(np.append(used, -1)), pa.array(np.append(total[used], n))], names=["slot", "n"])
@@ -150,6 +151,7 @@ def sketches(docs: DataFrame, idf: np.ndarray, key: str = "doc_id", text: str =
                 digest = pa.array([None if e else d.tobytes() for e, d in zip(none, digests, strict=True)], pa.binary())
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(0, n * BANDS + 1, BANDS, dtype=np.int32)), pa.array(keys.ravel().view(np.int64)))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, n), digest, lists], names=["id", "digest", "keys"])
+            tidy()
 
     return docs.select(key, text).mapInArrow(sketch, f"id {kind}, digest binary, keys array<bigint>")
 
@@ -192,8 +194,8 @@ def verified(pairs: DataFrame, docs: DataFrame, idf: np.ndarray, least: float, k
     def check(batches):
         last: tuple = (None, None)
         for batch in batches:
-            sizes = np.asarray(pc.binary_length(plain(batch.column("ta")))) + np.asarray(pc.binary_length(plain(batch.column("tb"))))
-            cut = np.searchsorted(np.cumsum(sizes), np.arange(4 << 20, int(sizes.sum()) + (4 << 20), 4 << 20), side="right").tolist()
+            sizes = np.asarray(pc.add(*(pc.fill_null(pc.binary_length(batch.column(c)), 0) for c in ("ta", "tb"))), dtype=np.int64)
+            cut = np.searchsorted(np.cumsum(sizes), np.arange(2 << 20, int(sizes.sum()) + (2 << 20), 2 << 20), side="right").tolist()
             bounds = sorted({0, *cut, batch.num_rows})
             for x, y in zip(bounds, bounds[1:], strict=False):
                 part = batch.slice(x, y - x)
@@ -207,6 +209,7 @@ def verified(pairs: DataFrame, docs: DataFrame, idf: np.ndarray, least: float, k
                 good = part.filter(pa.array(keep))
                 if good.num_rows:
                     yield pa.RecordBatch.from_arrays([good.column("a"), good.column("b")], names=["a", "b"])
+            tidy()
 
     return both.mapInArrow(check, f"a {kind}, b {kind}")
 

@@ -25,15 +25,17 @@ import math
 import random
 import re
 from bisect import bisect_left
+from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import plain, replace_column
+from .common import plain, replace_column, slices, tidy
 
 KINDS = ("email", "ip", "card", "phone")
 Span = tuple[int, int, int]  # start, kind's number, end
@@ -375,14 +377,25 @@ def _spans(model: Model, texts: list[str]) -> list[list[tuple[Span, bool]]]:
     return [sorted([(s, True) for s in b] + [(s, False) for s in m]) for b, m in zip(base, more, strict=True)]
 
 
+def _each(model: Model, t: pa.Array) -> Iterator[tuple[str, list[tuple[Span, bool]]]]:
+    """Each text with its spans, a slice at a time."""
+    texts = plain(t)
+    for a, b in slices(texts):
+        own = texts.slice(a, b - a).to_pylist()
+        yield from zip(own, _spans(model, own), strict=True)
+    tidy()
+
+
 def find(docs: DataFrame, text: str = "text", output: str = "pii", model: Model | None = None) -> DataFrame:
     """Adds array<struct<kind, start, end, base>> by start and then kind; base tells the fixed patterns' spans."""
     own = model or train()
 
     @F.arrow_udf("array<struct<kind:string,start:bigint,end:bigint,base:boolean>>")
     def pii(t: pa.Array) -> pa.Array:
-        found = _spans(own, plain(t).to_pylist())
-        return pa.array([[{"kind": KINDS[k], "start": a, "end": b, "base": is_base} for (a, k, b), is_base in row] for row in found], _TYPE)
+        out = []
+        for _, row in _each(own, t):
+            out.append([{"kind": KINDS[k], "start": a, "end": b, "base": is_base} for (a, k, b), is_base in row])
+        return pa.array(out, _TYPE)
 
     return replace_column(docs, output, pii(F.col(text)))
 
@@ -394,14 +407,14 @@ def redact(docs: DataFrame, text: str = "text", mark: str = "[{}]", model: Model
     @F.arrow_udf("string")
     def clean(t: pa.Array) -> pa.Array:
         out = []
-        for s, row, old in zip(texts := plain(t).to_pylist(), _spans(own, texts), t.to_pylist(), strict=True):
+        for s, row in _each(own, t):
             parts, at = [], 0
             for (a, k, b), _ in row:
                 if a >= at:
                     parts += [s[at:a], mark.format(KINDS[k])]
                 at = max(at, b)
-            out.append(None if old is None else "".join([*parts, s[at:]]) if row else s)
-        return pa.array(out, pa.string())
+            out.append("".join([*parts, s[at:]]) if row else s)
+        return pc.if_else(pc.is_null(t), pa.scalar(None, pa.string()), pa.array(out, pa.string()))
 
     return replace_column(docs, text, clean(F.col(text)))
 

@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import hashing as H
-from .common import fold, plain, replace_column, slices
+from .common import fold, plain, replace_column, slices, tidy
 
 SCALE = 20.0
 
@@ -110,6 +110,7 @@ def predict(model: Linear, texts: pa.Array) -> np.ndarray:
         slot, rows, count = features(texts.slice(a, b - a), model.bits)
         total = np.bincount(rows, weights=dense[slot], minlength=b - a)
         out[a:b] = 1 / (1 + np.exp(-np.clip(model.bias + SCALE * total / np.maximum(1, count), -35, 35)))
+    tidy()
     return out
 
 
@@ -142,6 +143,7 @@ def fit(docs: DataFrame, labels: DataFrame, keep: Column | None = None, label: s
                 [batch.column("_key").cast(pa.string()), batch.column("_label"), pa.array([s.astype(np.uint32).tobytes() for s, _ in found], pa.binary()), pa.array([v.astype(np.float32).tobytes() for _, v in found], pa.binary())],
                 names=["key", "label", "slots", "values"],
             )
+            tidy()
 
     got = rows.withColumn("_key", F.col("_key").cast("string")).mapInArrow(vectors, "key string, label int, slots binary, values binary").toArrow().sort_by("key")
     examples = [(np.frombuffer(s, np.uint32).astype(np.int64), np.frombuffer(v, np.float32).astype(np.float64), y) for y, s, v in zip(got["label"].to_pylist(), got["slots"].to_pylist(), got["values"].to_pylist(), strict=True)]

@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import hashing as H
-from .common import fold, plain, replace_column, slices
+from .common import fold, plain, replace_column, slices, tidy
 from .quality import labelled_sample
 
 PREFIXES = (4, 5, 7)
@@ -144,6 +144,7 @@ def predict(model: Model, texts: pa.Array) -> np.ndarray:
         key = np.unique(rows[real] * max(1, k) + i[real])
         total = np.bincount(key // max(1, k), weights=model.weight[key % max(1, k)] if k else None, minlength=b - a)
         out[a:b] = 1 / (1 + np.exp(-np.clip(model.bias + total, -35, 35)))
+    tidy()
     return out
 
 
@@ -156,6 +157,7 @@ def fit(docs: DataFrame, labels: DataFrame, keep: Column | None = None, label: s
         for batch in batches:
             texts = plain(batch.column("_text"))
             found = distinct(texts)
+            tidy()
             yield pa.RecordBatch.from_arrays([batch.column("_key"), batch.column("_label"), raw(found), pa.array([None] * len(found), pa.binary())], names=["key", "label", "a", "b"])
             both = [(k, s, o) for k, t in zip(batch.column("_key").to_pylist(), texts.to_pylist(), strict=True) for s, o in swaps(t, kinds)]
             if both:
