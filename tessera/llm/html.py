@@ -24,7 +24,7 @@ gives no rows.  Output columns replace input columns of the same name.
 from __future__ import annotations
 
 import re
-from collections import Counter, defaultdict
+from collections import defaultdict
 from dataclasses import dataclass
 from hashlib import blake2b
 from html import unescape
@@ -42,6 +42,8 @@ _SIMPLE = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)([^>
 _NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)", re.IGNORECASE)
 _HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|/|$)|display\s*:\s*none", re.IGNORECASE)
 
+_TELLING = re.compile(r"class|id|role|hidden|style", re.IGNORECASE)
+
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript iframe xmp noembed noframes".split())
@@ -73,6 +75,37 @@ class Open:
     article: int  # 2 in an article, 1 in a main element
     container: int  # path of the nearest element that isn't a content element
     link: bool
+    children: dict  # elements made before, by tag and attributes
+
+
+#: What stands above all elements; equal paths on all pages of a process share their elements.
+_roots: list[Open] = []
+#: Elements that a process remembers, and how many it does.
+ELEMENTS = 20_000
+_made = [0]
+
+
+def _root() -> Open:
+    if not _roots or _made[0] > ELEMENTS:
+        _made[0] = 0
+        _roots[:] = [Open("", 0, True, False, 0, 0, False, {})]
+    return _roots[0]
+
+
+def _element(up: Open, tag: str, attributes: str) -> Open:
+    _made[0] += 1
+    names = " ".join(x.strip("\"'") for x in _NAMES.findall(attributes)).lower() if attributes else ""
+    words = set(re.split(r"[^a-z0-9]+", names)) if names else ()
+    inside = up.article or (2 if tag == "article" else 1 if tag == "main" or "main" in words and "role" in attributes.lower() else 0)
+    out = up.out or tag in OUTSIDE or (tag == "header" or "header" in words) and not up.article
+    if tag not in ("html", "body", "article", "main") and words:
+        out = out or not BOILERPLATE.isdisjoint(words)
+    elif words and tag == "article":
+        out = out or not {"comment", "comments", "reply", "related", "ad"}.isdisjoint(words)
+    out = out or bool(attributes) and bool(_HIDDEN.search(attributes))
+    path = _hash(up.path, tag, re.sub(r"\d+", "0", names))
+    container = path if tag not in CONTENT and tag not in INLINE else up.container
+    return Open(tag, path, not names, out, inside if tag != "article" else 2, container, up.link or tag == "a", {})
 
 
 @dataclass(slots=True)
@@ -84,11 +117,10 @@ class Block:
     links: int
 
 
-def parse(html: str) -> tuple[list[Block], Counter]:
+def parse(html: str) -> tuple[list[Block], dict[int, int]]:
     """Blocks in page order, and how often each tag occurs at its path."""
-    root = Open("", 0, True, False, 0, 0, False)
-    stack, open_tags = [root], Counter()
-    tags: Counter = Counter()
+    stack, open_tags = [_root()], defaultdict(int)
+    tags: dict[int, int] = defaultdict(int)
     blocks: list[Block] = []
     pieces: list[str] = []
     links = 0
@@ -156,7 +188,9 @@ def parse(html: str) -> tuple[list[Block], Counter]:
                 low = html.lower() if html.isascii() else re.sub(r"[A-Z]+", lambda x: x[0].lower(), html)
             end = low.find("</" + tag, at)
             gt = html.find(">", end) if end >= 0 else -1
-            tags[_hash(stack[-1].path, tag)] += 1
+            up = stack[-1]
+            element = up.children.get((tag, "")) or up.children.setdefault((tag, ""), _element(up, tag, ""))
+            tags[element.path] += 1
             at = gt + 1 if gt >= 0 else n
             continue
         if tag not in INLINE:
@@ -166,28 +200,24 @@ def parse(html: str) -> tuple[list[Block], Counter]:
                 near = next((e.tag for e in reversed(stack[-8:]) if e.tag in (*CLOSES[tag], "ul", "ol", "dl", "table")), "")
                 if near == other:
                     pop(other)
-        up = stack[-1]
         attributes = m[3]
-        names = " ".join(x.strip("\"'") for x in _NAMES.findall(attributes)).lower() if attributes else ""
-        words = set(re.split(r"[^a-z0-9]+", names)) if names else ()
-        inside = up.article or (2 if tag == "article" else 1 if tag == "main" or "main" in words and "role" in attributes.lower() else 0)
-        out = up.out or tag in OUTSIDE or (tag == "header" or "header" in words) and not up.article
-        if tag not in ("html", "body", "article", "main") and words:
-            out = out or not BOILERPLATE.isdisjoint(words)
-        elif words and tag == "article":
-            out = out or not {"comment", "comments", "reply", "related", "ad"}.isdisjoint(words)
-        out = out or bool(attributes) and bool(_HIDDEN.search(attributes))
-        path = _hash(up.path, tag, re.sub(r"\d+", "0", names))
-        tags[path] += 1
-        stack.append(Open(tag, path, not names, out, inside if tag != "article" else 2, path if tag not in CONTENT and tag not in INLINE else up.container, up.link or tag == "a"))
+        if attributes and not _TELLING.search(attributes):
+            attributes = ""
+        up = stack[-1]
+        element = up.children.get((tag, attributes))
+        if element is None:
+            element = _element(up, tag, attributes)
+            up.children[tag, attributes] = element
+        tags[element.path] += 1
+        stack.append(element)
         open_tags[tag] += 1
     close()
     return blocks, tags
 
 
-def tokens(blocks: list[Block], tags: Counter) -> tuple[Counter, dict[int, int]]:
+def tokens(blocks: list[Block], tags: dict[int, int]) -> tuple[dict[int, int], dict[int, int]]:
     """Occurrences of tokens on a page, and the text that isn't links by container."""
-    found = Counter(tags)
+    found = defaultdict(int, tags)
     size: dict[int, int] = defaultdict(int)
     for b in blocks:
         found[_hash(b.element.path, "text", b.text)] += 1
