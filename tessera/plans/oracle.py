@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessera.plans.fixtures import SHAPES, edges_sql, nation_shapes, points_sql
+from tessera.plans.fixtures import edges_sql, points_sql
 
 
 def grid_sql(n: int = 10) -> str:
@@ -85,12 +85,3 @@ def summary_sql(classified: str, by: str = "") -> str:
     """Counts and checksum, by an expression if given."""
     return f"WITH {classified},\n{PRINTS}\nSELECT {by + ' AS stripe, ' if by else ''}{MEASURES} FROM classified c JOIN prints f ON c.point_id = f.k{' GROUP BY 1' if by else ''}"
 
-
-def nation_rows() -> list:
-    """Nation squares."""
-    return nation_shapes()
-
-
-def all_shapes() -> list:
-    """The small shapes."""
-    return SHAPES
