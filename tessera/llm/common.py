@@ -22,7 +22,13 @@ SLICE_CHARS = 1 << 20
 
 
 def prepare(spark: SparkSession) -> SparkSession:
-    """Lets Python workers import this package, and sets a checkpoint folder if there is none."""
+    """Lets Python workers import this package, and sets a checkpoint folder if there is none.
+
+    Texts are long, so Arrow batches get fewer rows than Spark's default, if
+    that still holds.
+    """
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
     env = spark.sparkContext.environment
     paths = [p for p in env.get("PYTHONPATH", os.environ.get("PYTHONPATH", "")).split(os.pathsep) if p]
     if ROOT not in paths:

@@ -35,7 +35,7 @@ from .common import SLICE_CHARS, plain, slices, tidy
 #: Punctuation that stands behind words.
 _ENDING = ".,;:!?%&$*#"
 #: Words that a worker remembers; beyond that it starts anew.
-MEMO = 600_000
+MEMO = 300_000
 
 
 def differencing(sizes: list[int], k: int) -> list[list[int]]:

@@ -77,7 +77,7 @@ def train(examples: list[tuple[np.ndarray, np.ndarray, int]], bits: int, alpha:
     for _ in range(passes):
         for k in order.permutation(len(examples)):
             slots, values, y = examples[k]
-            i, x = np.append(slots, bias), np.append(values, 1.0)
+            i, x = np.append(slots, bias).astype(np.int64), np.append(values, 1.0).astype(np.float64)
             w = weights(i)
             p = 1 / (1 + np.exp(-np.clip(w @ x, -35, 35)))
             g = (p - y) * x
@@ -146,8 +146,11 @@ def fit(docs: DataFrame, labels: DataFrame, keep: Column | None = None, label: s
             tidy()
 
     got = rows.withColumn("_key", F.col("_key").cast("string")).mapInArrow(vectors, "key string, label int, slots binary, values binary").toArrow().sort_by("key")
-    examples = [(np.frombuffer(s, np.uint32).astype(np.int64), np.frombuffer(v, np.float32).astype(np.float64), y) for y, s, v in zip(got["label"].to_pylist(), got["slots"].to_pylist(), got["values"].to_pylist(), strict=True)]
-    return train(examples, bits)
+    examples = [(np.frombuffer(s, np.uint32), np.frombuffer(v, np.float32), y) for y, s, v in zip(got["label"].to_pylist(), got["slots"].to_pylist(), got["values"].to_pylist(), strict=True)]
+    model = train(examples, bits)
+    del got, examples
+    tidy()
+    return model
 
 
 def score(docs: DataFrame, model: Linear, text: str = "text", output: str = "score") -> DataFrame:

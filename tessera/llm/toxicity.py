@@ -89,25 +89,25 @@ def train(rows: list[np.ndarray], y: np.ndarray, pairs: list[tuple[np.ndarray, n
     if ones in (0, n):
         p = (ones + 1) / (n + 2)
         return Model(none, np.empty(0), float(np.log(p / (1 - p))))
-    flat = np.concatenate([none, *rows])
-    where = np.repeat(np.arange(n), [len(r) for r in rows])
-    feature, inverse, total = np.unique(flat, return_inverse=True, return_counts=True)
-    hits = np.bincount(inverse, weights=y[where], minlength=len(feature))
+    feature, total = np.unique(np.concatenate([none, *rows]), return_counts=True)
+    speaking, times = np.unique(np.concatenate([none, *(r for r, one in zip(rows, y, strict=True) if one)]), return_counts=True)
+    hits = np.zeros(len(feature))
+    hits[np.searchsorted(feature, speaking)] = times
     expected = total * ones / n
     chi = (hits - expected) ** 2 / (expected * (1 - ones / n) * (1 - total / (n + 1)))
     chi[(total < min(least, ones)) | (hits < expected)] = 0
     chosen = np.sort(np.argsort(-chi, kind="stable")[: min(most, int((chi > floor).sum()))])
     feature = feature[chosen]
-    slot = np.full(len(total), -1)
-    slot[chosen] = np.arange(len(chosen))
-    col, row = slot[inverse], where
-    row, col = row[col >= 0], col[col >= 0]
     k = len(feature)
 
     def located(f: np.ndarray) -> np.ndarray:
         i = np.searchsorted(feature, f)
         return i[(i < k) & (feature[np.minimum(i, k - 1)] == f)] if k else i[:0]
 
+    used = [located(r) for r in rows]
+    col = np.concatenate([np.empty(0, np.int64), *used])
+    row = np.repeat(np.arange(n), [len(u) for u in used])
+
     diff = [(np.concatenate([located(a), located(b)]), len(located(a))) for a, b in pairs]
     p_col = np.concatenate([np.empty(0, np.int64), *[c for c, _ in diff]]).astype(np.int64)
     p_sign = np.concatenate([np.empty(0), *[np.r_[np.ones(m), -np.ones(len(c) - m)] for c, m in diff]])
@@ -168,7 +168,10 @@ def fit(docs: DataFrame, labels: DataFrame, keep: Column | None = None, label: s
     of = lambda x: np.frombuffer(x, np.uint32)
     found = list(zip(got["label"].to_pylist(), got["a"].to_pylist(), got["b"].to_pylist(), strict=True))
     y = np.array([x[0] for x in found if x[0] is not None], dtype=np.float64)
-    return train([of(x[1]) for x in found if x[0] is not None], y, [(of(x[1]), of(x[2])) for x in found if x[0] is None])
+    model = train([of(x[1]) for x in found if x[0] is not None], y, [(of(x[1]), of(x[2])) for x in found if x[0] is None])
+    del got, found
+    tidy()
+    return model
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", output: str = "score") -> DataFrame:
