@@ -8,13 +8,13 @@
    large groups of copies, whose own shingles are frequent, from drifting apart.
 2. Texts with the same shingles and counts fall together first.
 3. Each text gets ``BANDS * ROWS`` samples, improved consistent weighted
-   sampling within hashed bins (empty bins borrow from others by a fixed
-   order), and one key for each band of samples.
+   sampling of its shingles' occurrences within hashed bins (empty bins borrow
+   from others by a fixed order), and one key for each band of samples.
 4. In each band's bucket all texts are compared with one centre; those with a
    weighted Jaccard similarity of ``least`` or more are linked.  A second round
-   takes the buckets that still hold several components and compares one text
-   of each with a text of the bucket's largest, drawn anew for each band.
-   A bucket of n texts makes n comparisons, never n * n.
+   takes the buckets that still hold several components and compares texts of
+   each with texts of the bucket's largest, DRAWS pairs drawn anew for each band.
+   A bucket of n texts makes some n comparisons, never n * n.
 5. Classes are the components of the links (large-star, small-star).
 
 Nothing is capped or gathered: buckets are aggregated before they are joined,
@@ -42,7 +42,9 @@ from . import hashing as H
 from .common import plain, slices, tidy
 
 SLOTS, FLOOR = 16, 0.75
-BANDS, ROWS = 16, 4
+BANDS, ROWS = 32, 5
+#: Comparisons of a component with its bucket's largest in the second round.
+DRAWS = 4
 BINS = BANDS * ROWS
 #: Bytes of ids up to which they go to all tasks; beyond it, they are joined by a shuffle.
 BROADCAST = 64 << 20
@@ -99,6 +101,18 @@ def _uniform(h: np.ndarray, k: int) -> np.ndarray:
     return ((H.mix(h + U(0x9E3779B97F4A7C15 * k & 0xFFFFFFFFFFFFFFFF)) >> U(11)).astype(np.float64) + 0.5) * 2.0**-53
 
 
+def expanded(rows: np.ndarray, h: np.ndarray, count: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each occurrence of a shingle as an element of its own, weighing its IDF factor.
+
+    The sets' weighted Jaccard similarity stays the same.  A shingle that a
+    document repeats a hundred times would otherwise fill one bin alone, and
+    bins would agree less often than the weights do.
+    """
+    at = np.repeat(np.arange(len(h)), count)
+    turn = np.arange(len(at)) - np.repeat(np.cumsum(count) - count, count)
+    return rows[at], np.where(turn, H.mix(h[at] + turn.astype(U) * U(0x9E3779B97F4A7C15)), h[at]), weights(h, np.ones_like(count), idf)[at]
+
+
 def samples(rows: np.ndarray, h: np.ndarray, w: np.ndarray, n: int) -> np.ndarray:
     """n x BINS consistent weighted samples as hashes; rows without shingles are 0."""
     out = np.zeros((n, BINS), U)
@@ -109,7 +123,7 @@ def samples(rows: np.ndarray, h: np.ndarray, w: np.ndarray, n: int) -> np.ndarra
     beta = _uniform(h, 5)
     t = np.floor(np.log(w) / r + beta)
     log_a = np.log(c) - r * (t - beta) - r
-    place = rows * BINS + (H.mix(h ^ U(0x5DEECE66D)) >> U(58)).astype(np.int64)
+    place = rows * BINS + ((H.mix(h ^ U(0x5DEECE66D)) >> U(32)) % U(BINS)).astype(np.int64)
     order = np.lexsort((log_a, place))
     first = order[np.flatnonzero(np.r_[True, place[order][1:] != place[order][:-1]])]
     filled = np.zeros(n * BINS, bool)
@@ -138,7 +152,7 @@ def sketches(docs: DataFrame, idf: np.ndarray, key: str = "doc_id", text: str =
             for a, b in slices(texts):
                 n = b - a
                 rows, h, count = shingles(texts.slice(a, n))
-                own = samples(rows, h, weights(h, count, idf), n)
+                own = samples(*expanded(rows, h, count, idf), n)
                 keys = np.zeros((n, BANDS), U)
                 for k in range(ROWS):
                     keys += own[:, k * BANDS : (k + 1) * BANDS] * H._PLACES[k]
@@ -250,9 +264,12 @@ def classes(docs: DataFrame, least: float = 0.8, key: str = "doc_id", text: str
     roots = components(links)
     # Second round: buckets that still hold several components.
     rooted = members.select("key", "id").join(roots, "id", "left").select("key", "id", F.coalesce("root", "id").alias("root"))
-    parts = rooted.groupBy("key", "root").agg(F.count("*").alias("n"), F.min_by("id", F.xxhash64("id", "key")).alias("one"))
-    largest = parts.groupBy("key").agg(F.max_by(F.struct("root", "one"), F.struct("n", "root")).alias("top"), F.count("*").alias("n")).where("n > 1").select("key", "top")
-    second = parts.join(largest, "key").where("root <> top.root").select(F.col("one").alias("a"), F.col("top.one").alias("b")).distinct().join(first, ["a", "b"], "left_anti").checkpoint()
+    draws = [F.min_by("id", F.xxhash64("id", "key", F.lit(k))).alias(f"r{k}") for k in range(DRAWS)]
+    parts = rooted.groupBy("key", "root").agg(F.count("*").alias("n"), F.array(*draws).alias("drawn"))
+    largest = parts.groupBy("key").agg(F.max_by(F.struct("root", "drawn"), F.struct("n", "root")).alias("top"), F.count("*").alias("n")).where("n > 1").select("key", "top")
+    apart = parts.join(largest, "key").where("root <> top.root")
+    second = apart.select(F.explode(F.arrays_zip(F.col("drawn").alias("a"), F.col("top.drawn").alias("b"))).alias("p")).select("p.a", "p.b")
+    second = second.distinct().join(first, ["a", "b"], "left_anti").checkpoint()
     more = verified(second, docs, idf, least, key, text)
     roots = components(links.union(more))
     of_text = reps.select("digest", "id").join(roots, "id", "left").select("digest", F.coalesce("root", "id").alias("class_id"))

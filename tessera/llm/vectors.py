@@ -82,8 +82,11 @@ def search(data: DataFrame, queries: DataFrame, answer: Callable[[object, object
                 first = np.flatnonzero(np.r_[True, q[1:] != q[:-1]]) if len(q) else np.empty(0, int)
                 ends = pa.array(np.r_[first, len(q)].astype(np.int32))
                 found = pa.StructArray.from_arrays([pa.array(-s, arrow), pa.array(d, pa.int64())], names=["s", "id"])
-                yield pa.RecordBatch.from_arrays([pa.array(q[first], pa.int64()), pa.ListArray.from_arrays(ends, found)], names=["query_id", "found"])
+                shard = pa.array(np.full(len(first), batch.column("shard")[i].as_py()), pa.int64())
+                yield pa.RecordBatch.from_arrays([shard, pa.array(q[first], pa.int64()), pa.ListArray.from_arrays(ends, found)], names=["shard", "query_id", "found"])
 
-    met = left.join(right, ["dim", "shard"]).select("block", "asked").mapInArrow(run, f"query_id bigint, found array<struct<s:{score_type},id:bigint>>")
-    best = met.groupBy("query_id").agg(F.slice(F.array_sort(F.flatten(F.collect_list("found"))), 1, k).alias("best"))
+    met = left.join(right, ["dim", "shard"]).select("shard", "block", "asked").mapInArrow(run, f"shard bigint, query_id bigint, found array<struct<s:{score_type},id:bigint>>")
+    # First by shard, then over shards, so that no group grows with the number of blocks times k.
+    top = F.slice(F.array_sort(F.flatten(F.collect_list("found"))), 1, k)
+    best = met.groupBy("query_id", "shard").agg(top.alias("found")).groupBy("query_id").agg(top.alias("best"))
     return best.select("query_id", F.posexplode("best")).select("query_id", (F.col("pos") + 1).cast("int").alias("rank"), F.col("col.id").alias("vec_id"), (-F.col("col.s")).alias("score"))
