@@ -6,14 +6,13 @@ with the same occurrence vector over the host's pages form an equivalence
 class; a vector is told by a fingerprint that adds up over pages, so classes
 come from one aggregation and no page is gathered by host.  Classes that occur
 on at least ``support`` of the host's pages are its template; they nest by their
-paths, and the text between them fills slots.  A slot's container with the
-most text over all pages is the host's content region.
+paths, and the text between them fills slots.
 
-A page's article is what lies in its article (or main) element, else in the
-host's region, else in the container with the most text, without menus,
-headers, footers, sidebars, notices, adverts, forms, scripts and comments
-(told by element, class, id or role), and without template text outside plain
-content elements.
+A page's article is what lies in its article (or main) element, else in its
+region, the lowest container of all its text that is neither links nor the
+template's, with all that is nested there: without menus, headers, footers,
+sidebars, notices, adverts, forms, scripts and comments (told by element,
+class, id or role), and without template text outside plain content elements.
 
 Defined results: null and empty html gives an empty text; a null URL belongs to
 the host ''; repeated rows give the same text; unclosed, stray and deeply nested
@@ -76,6 +75,7 @@ class Open:
     container: int  # path of the nearest element that isn't a content element
     link: bool
     children: dict  # elements made before, by tag and attributes
+    up: Open | None
 
 
 #: What stands above all elements; equal paths on all pages of a process share their elements.
@@ -88,7 +88,7 @@ _made = [0]
 def _root() -> Open:
     if not _roots or _made[0] > ELEMENTS:
         _made[0] = 0
-        _roots[:] = [Open("", 0, True, False, 0, 0, False, {})]
+        _roots[:] = [Open("", 0, True, False, 0, 0, False, {}, None)]
     return _roots[0]
 
 
@@ -105,7 +105,7 @@ def _element(up: Open, tag: str, attributes: str) -> Open:
     out = out or bool(attributes) and bool(_HIDDEN.search(attributes))
     path = _hash(up.path, tag, re.sub(r"\d+", "0", names))
     container = path if tag not in CONTENT and tag not in INLINE else up.container
-    return Open(tag, path, not names, out, inside if tag != "article" else 2, container, up.link or tag == "a", {})
+    return Open(tag, path, not names, out, inside if tag != "article" else 2, container, up.link or tag == "a", {}, up)
 
 
 @dataclass(slots=True)
@@ -215,47 +215,73 @@ def parse(html: str) -> tuple[list[Block], dict[int, int]]:
     return blocks, tags
 
 
-def tokens(blocks: list[Block], tags: dict[int, int]) -> tuple[dict[int, int], dict[int, int]]:
-    """Occurrences of tokens on a page, and the text that isn't links by container."""
+def tokens(blocks: list[Block], tags: dict[int, int]) -> dict[int, int]:
+    """Occurrences of tokens on a page."""
     found = defaultdict(int, tags)
-    size: dict[int, int] = defaultdict(int)
     for b in blocks:
         found[_hash(b.element.path, "text", b.text)] += 1
-        if not b.element.out:
-            size[b.element.container] += max(0, len(b.text) - b.links)
-    return found, size
-
-
-def article(blocks: list[Block], template: frozenset[int], region: int | None) -> str:
+    return found
+
+
+def _common(elements: list[Open]) -> Open:
+    """The lowest element that all of these lie in."""
+    rank: dict[int, int] = {}
+    chain: list[Open] = []
+    e = elements[0]
+    while e is not None:
+        rank[id(e)] = len(chain)
+        chain.append(e)
+        e = e.up
+    low, seen = 0, set()
+    for e in elements:
+        while id(e) not in rank and id(e) not in seen:
+            seen.add(id(e))
+            e = e.up
+        low = max(low, rank.get(id(e), 0))
+    return chain[low]
+
+
+def _within(e: Open, top: Open, known: dict[int, bool]) -> bool:
+    """Whether an element is ``top`` or lies in it; known: what was found before."""
+    walked = []
+    while e is not None and e is not top and id(e) not in known:
+        walked.append(id(e))
+        e = e.up
+    inside = e is top or e is not None and known[id(e)]
+    known.update(dict.fromkeys(walked, inside))
+    return inside
+
+
+def article(blocks: list[Block], template: frozenset[int]) -> str:
     """The text of a page's article."""
     own = [b for b in blocks if not b.element.out]
     level = max((b.element.article for b in own), default=0)
     if level:
         own = [b for b in own if b.element.article == level]
     else:
-        size: dict[int, int] = defaultdict(int)
-        for b in own:
-            if _hash(b.element.path, "text", b.text) not in template:
-                size[b.element.container] += max(0, len(b.text) - b.links)
-        if region not in size and size:
-            region = max(size, key=size.__getitem__)
-        own = [b for b in own if b.element.container == region]
+        # The region: the lowest container of all text that is neither links nor the template's.
+        slots = [b.element for b in own if b.links < len(b.text) and _hash(b.element.path, "text", b.text) not in template]
+        if slots:
+            top = _common(slots)
+            while top.up is not None and top.path != top.container:
+                top = top.up
+            known: dict[int, bool] = {}
+            own = [b for b in own if _within(b.element, top, known)]
     return " ".join(b.text for b in own if b.element.plain and b.element.tag in CONTENT or _hash(b.element.path, "text", b.text) not in template)
 
 
 def templates(pages: DataFrame, support: float = 0.5, url: str = "url", html: str = "html") -> DataFrame:
-    """Rows host, template (token hashes) and region, for hosts with more than one page."""
+    """Rows host and template (token hashes), for hosts with more than one page."""
     schema = "host string, token bigint, kind int, n bigint, chars bigint, page bigint"
 
     def occurrences(batches):
         for batch in batches:
             rows: list[tuple] = []
             for i, (host, text) in enumerate(zip(plain(batch.column("host")).to_pylist(), plain(batch.column("html")).to_pylist(), strict=True)):
-                found, size = tokens(*parse(text))
+                found = tokens(*parse(text))
                 page = _hash(batch.column("id")[i].as_py(), len(text))
                 rows.append((host, 0, 0, 1, 0, page))
                 rows += [(host, t, 1, n, 0, page) for t, n in found.items()]
-                rows += [(host, t, 2, 1, n, page) for t, n in size.items()]
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.string() if k == 0 else pa.int32() if k == 2 else pa.int64()) for k, c in enumerate(zip(*rows, strict=True))], names=["host", "token", "kind", "n", "chars", "page"])
 
@@ -267,8 +293,7 @@ def templates(pages: DataFrame, support: float = 0.5, url: str = "url", html: st
     frequent = by_token.where("kind = 1").join(total, "host").where((F.col("pages") >= F.lit(support) * F.col("of")) & (F.col("of") > 1))
     classes = frequent.groupBy("host", "vector", "pages").agg(F.collect_list("token").alias("tokens"))
     nested = classes.groupBy("host").agg(F.array_sort(F.flatten(F.collect_list("tokens"))).alias("template"))
-    region = by_token.where("kind = 2").groupBy("host").agg(F.max_by("token", F.struct("chars", "token")).alias("region"))
-    return nested.join(region, "host", "left")
+    return nested
 
 
 #: Bytes of templates up to which they go to all tasks; beyond it, pages and templates are joined by a shuffle.
@@ -279,18 +304,18 @@ def extract(pages: DataFrame, support: float = 0.5, url: str = "url", html: str
     """Adds the article's text to each page."""
     made = templates(pages, support, url, html).checkpoint()
     size = made.agg(F.sum(F.size("template") * 8 + F.length("host") + 64)).first()[0] or 0
-    made = made.withColumnsRenamed({"host": "_host", "template": "_template", "region": "_region"})
+    made = made.withColumnsRenamed({"host": "_host", "template": "_template"})
     left = replace_column(pages, "_host", F.coalesce(host_of(F.col(url)), F.lit("")))
     joined = left.join(F.broadcast(made) if size <= BROADCAST else made, "_host", "left")
 
     @F.arrow_udf("string")
-    def text(h: pa.Array, host: pa.Array, template: pa.Array, region: pa.Array) -> pa.Array:
+    def text(h: pa.Array, host: pa.Array, template: pa.Array) -> pa.Array:
         known: dict[str, frozenset[int]] = {}
         out = []
-        for i, (page, own, at) in enumerate(zip(plain(h).to_pylist(), host.to_pylist(), region.to_pylist(), strict=True)):
+        for i, (page, own) in enumerate(zip(plain(h).to_pylist(), host.to_pylist(), strict=True)):
             if own not in known:
                 known[own] = frozenset(template[i].as_py() or ())
-            out.append(article(parse(page)[0], known[own], at))
+            out.append(article(parse(page)[0], known[own]))
         return pa.array(out, pa.string())
 
-    return replace_column(joined, output, text(F.col(html), F.col("_host"), F.col("_template"), F.col("_region"))).drop("_host", "_template", "_region")
+    return replace_column(joined, output, text(F.col(html), F.col("_host"), F.col("_template"))).drop("_host", "_template")

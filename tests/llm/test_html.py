@@ -53,6 +53,14 @@ def test_template_text_in_an_article_goes_only_outside_content_elements(spark):
     assert got == [f"T{i} A line that is on all pages. T{i} body" for i in range(5)]
 
 
+def test_a_region_is_taken_with_all_that_is_nested_in_it(spark):
+    page = '<body><div id="top"><span>Fine site</span></div><div class="post"><p>{0}</p><ul><li>Item {0}</li></ul><table><tr><td>Cell {0}</td></tr></table><div><p>Inner {0}</p></div></div></body>'
+    assert extracted(spark, [(f"http://a.org/{i}", page.format(i)) for i in range(4)]) == [f"{i} Item {i} Cell {i} Inner {i}" for i in range(4)]
+    split = '<body><div id="all"><div class="one"><p>First {0}</p></div><div class="two"><p>Second {0}, longer</p></div></div></body>'
+    assert extracted(spark, [(f"http://a.org/{i}", split.format(i)) for i in range(4)]) == [f"First {i} Second {i}, longer" for i in range(4)]
+    assert extracted(spark, [("http://a.org/", split.format(1))]) == ["First 1 Second 1, longer"]
+
+
 def test_occurrence_vectors_make_classes(spark):
     pages = spark.createDataFrame([("http://a/" + str(i), f"<body><i>x</i><p>t{i}</p>{'<table></table>' if i < 2 else ''}</body>") for i in range(4)] + [("http://b/", "<p>one</p>")], "url string, html string")
     made = {r.host: r for r in html.templates(pages).collect()}
