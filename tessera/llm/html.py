@@ -4,9 +4,11 @@ Pages of a host are made from one template.  A token is a tag at its path (tag
 names and class or id from the root), or a block's text at its path.  Tokens
 with the same occurrence vector over the host's pages form an equivalence
 class; a vector is told by a fingerprint that adds up over pages, so classes
-come from one aggregation and no page is gathered by host.  Classes that occur
-on at least ``support`` of the host's pages are its template; they nest by their
-paths, and the text between them fills slots.
+come from one aggregation and no page is gathered by host.  Classes of several
+tokens on at least ``support`` of the host's pages are then checked on all
+pages: a class is valid if its tokens come in the same turn each time (ordered)
+and its runs lie in the same gap of the same other class, cut by none (nested).
+Valid classes are the host's template, and what lies in their gaps fills slots.
 
 A page's article is what lies in its article (or main) element, else in its
 region, the lowest container of all its text that is neither links nor the
@@ -23,7 +25,7 @@ gives no rows.  Output columns replace input columns of the same name.
 from __future__ import annotations
 
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 from dataclasses import dataclass
 from hashlib import blake2b
 from html import unescape
@@ -32,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import plain, replace_column
+from .common import plain, replace_column, slices
 from .urls import host_of
 
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>", re.DOTALL)
@@ -115,12 +117,13 @@ class Block:
     text: str
     element: Open
     links: int
+    at: int  # tags before its end
 
 
-def parse(html: str) -> tuple[list[Block], dict[int, int]]:
-    """Blocks in page order, and how often each tag occurs at its path."""
+def parse(html: str) -> tuple[list[Block], list[int]]:
+    """Blocks and the paths of tags, both in page order."""
     stack, open_tags = [_root()], defaultdict(int)
-    tags: dict[int, int] = defaultdict(int)
+    tags: list[int] = []
     blocks: list[Block] = []
     pieces: list[str] = []
     links = 0
@@ -134,7 +137,7 @@ def parse(html: str) -> tuple[list[Block], dict[int, int]]:
                 at = len(stack) - 1
                 while at and stack[at].tag in INLINE:
                     at -= 1
-                blocks.append(Block(text, stack[at], links))
+                blocks.append(Block(text, stack[at], links, len(tags)))
             pieces, links = [], 0
 
     def text(s: str) -> None:
@@ -190,7 +193,7 @@ def parse(html: str) -> tuple[list[Block], dict[int, int]]:
             gt = html.find(">", end) if end >= 0 else -1
             up = stack[-1]
             element = up.children.get((tag, "")) or up.children.setdefault((tag, ""), _element(up, tag, ""))
-            tags[element.path] += 1
+            tags.append(element.path)
             at = gt + 1 if gt >= 0 else n
             continue
         if tag not in INLINE:
@@ -208,19 +211,67 @@ def parse(html: str) -> tuple[list[Block], dict[int, int]]:
         if element is None:
             element = _element(up, tag, attributes)
             up.children[tag, attributes] = element
-        tags[element.path] += 1
+        tags.append(element.path)
         stack.append(element)
         open_tags[tag] += 1
     close()
     return blocks, tags
 
 
-def tokens(blocks: list[Block], tags: dict[int, int]) -> dict[int, int]:
-    """Occurrences of tokens on a page."""
-    found = defaultdict(int, tags)
+def tokens(blocks: list[Block], tags: list[int]) -> list[int]:
+    """A page's tokens in page order."""
+    out: list[int] = []
+    at = 0
     for b in blocks:
-        found[_hash(b.element.path, "text", b.text)] += 1
-    return found
+        out += tags[at : b.at]
+        out.append(_hash(b.element.path, "text", b.text))
+        at = b.at
+    return out + tags[at:]
+
+
+def checked(page: list[int], classes: dict[int, int]) -> list[tuple[int, int, int]]:
+    """Rows class, order, place for a page; classes: each token's class.
+
+    A class is ordered if its tokens come in the same turn each time, and nested
+    if none of its runs is cut by the end of a run of another; order is 0 if not.
+    Place tells the run and the gap in it that a class lies in; 0 if it varies.
+    """
+    seen = [(t, classes[t]) for t in page if t in classes]
+    turn: dict[int, dict[int, int]] = defaultdict(dict)
+    for t, c in seen:
+        turn[c].setdefault(t, len(turn[c]))
+    bad: set[int] = set()
+    place: dict[int, int] = {}
+    stack: list[list[int]] = []  # class and tokens seen of open runs
+    for t, c in seen:
+        if c in bad:
+            continue
+        k = turn[c][t]
+        while stack and stack[-1][0] in bad:
+            stack.pop()
+        if k == 0 and not (stack and stack[-1][0] == c):
+            if any(o[0] == c for o in stack):
+                bad.add(c)
+                continue
+            at = _hash(*stack[-1]) if stack else 1
+            place[c] = at if place.get(c, at) == at else 0
+            stack.append([c, 1])
+        elif stack and stack[-1] == [c, k]:
+            stack[-1][1] = k + 1
+        else:
+            # Out of turn, or across another's run: of two that cross the one with fewer tokens isn't nested.
+            i = next((i for i in range(len(stack) - 1, -1, -1) if stack[i] == [c, k]), -1)
+            over = {o[0] for o in stack[i + 1 :] if o[0] not in bad} if i >= 0 else set()
+            if i < 0 or any((len(turn[o]), o) > (len(turn[c]), c) for o in over):
+                bad.add(c)
+                continue
+            bad |= over
+            del stack[i + 1 :]
+            stack[-1][1] = k + 1
+        if stack[-1][1] == len(turn[c]):
+            stack.pop()
+    bad.update(o[0] for o in stack)
+    return [(c, 0 if c in bad else _hash(*own), place.get(c, 0)) for c, own in turn.items()]
 
 
 def _common(elements: list[Open]) -> Open:
@@ -271,29 +322,56 @@ def article(blocks: list[Block], template: frozenset[int]) -> str:
 
 
 def templates(pages: DataFrame, support: float = 0.5, url: str = "url", html: str = "html") -> DataFrame:
-    """Rows host and template (token hashes), for hosts with more than one page."""
-    schema = "host string, token bigint, kind int, n bigint, chars bigint, page bigint"
+    """Rows host and template (tokens of its valid classes), for hosts with more than one page."""
 
     def occurrences(batches):
         for batch in batches:
-            rows: list[tuple] = []
-            for i, (host, text) in enumerate(zip(plain(batch.column("host")).to_pylist(), plain(batch.column("html")).to_pylist(), strict=True)):
-                found = tokens(*parse(text))
-                page = _hash(batch.column("id")[i].as_py(), len(text))
-                rows.append((host, 0, 0, 1, 0, page))
-                rows += [(host, t, 1, n, 0, page) for t, n in found.items()]
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.string() if k == 0 else pa.int32() if k == 2 else pa.int64()) for k, c in enumerate(zip(*rows, strict=True))], names=["host", "token", "kind", "n", "chars", "page"])
+            hosts, texts = plain(batch.column("host")), plain(batch.column("html"))
+            ids = batch.column("id").to_pylist()
+            for a, b in slices(texts):
+                found = [tokens(*parse(h)) for h in texts.slice(a, b - a).to_pylist()]
+                names = [_hash(i, len(f)) for i, f in zip(ids[a:b], found, strict=True)]
+                yield pa.RecordBatch.from_arrays([hosts.slice(a, b - a).cast(pa.string()), pa.array(names, pa.int64()), pa.array(found, pa.list_(pa.int64()))], names=["host", "page", "tokens"])
 
     seen = pages.select(F.coalesce(host_of(F.col(url)), F.lit("")).alias("host"), F.col(html).alias("html"), F.xxhash64(F.coalesce(F.col(url), F.lit("")), F.coalesce(F.substring(F.col(html), -64, 64), F.lit(""))).alias("id"))
-    by_token = seen.mapInArrow(occurrences, schema).groupBy("host", "kind", "token").agg(F.count("*").alias("pages"), F.bit_xor(F.xxhash64("page", "n")).alias("vector"), F.sum("chars").alias("chars"))
+    each = seen.mapInArrow(occurrences, "host string, page bigint, tokens array<bigint>").checkpoint()
+    total = each.groupBy("host").agg(F.count("*").alias("of"))
+
+    def counts(batches):
+        for batch in batches:
+            rows = [(h, t, n, p) for h, p, own in zip(*(batch.column(c).to_pylist() for c in ("host", "page", "tokens")), strict=True) for t, n in Counter(own).items()]
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*rows, strict=True), (pa.string(), *[pa.int64()] * 3), strict=True)], names=["host", "token", "n", "page"])
+
+    by_token = each.mapInArrow(counts, "host string, token bigint, n bigint, page bigint").groupBy("host", "token").agg(F.count("*").alias("pages"), F.bit_xor(F.xxhash64("page", "n")).alias("vector"))
     # A token on one page of many has no say; what is left of a host is bounded by its pages' mean size over support.
-    by_token = by_token.where((F.col("pages") > 1) | (F.col("kind") != 1))
-    total = by_token.where("kind = 0").select("host", F.col("pages").alias("of"))
-    frequent = by_token.where("kind = 1").join(total, "host").where((F.col("pages") >= F.lit(support) * F.col("of")) & (F.col("of") > 1))
-    classes = frequent.groupBy("host", "vector", "pages").agg(F.collect_list("token").alias("tokens"))
-    nested = classes.groupBy("host").agg(F.array_sort(F.flatten(F.collect_list("tokens"))).alias("template"))
-    return nested
+    frequent = by_token.where("pages > 1").join(total, "host").where(F.col("pages") >= F.lit(support) * F.col("of"))
+    classes = frequent.groupBy("host", "vector", "pages").agg(F.array_sort(F.collect_list("token")).alias("own"))
+    # A token alone, often an article's own text that recurs, says nothing of the template.
+    classes = classes.where("size(own) > 1").select("host", F.xxhash64("vector", "pages").alias("class"), "own").checkpoint()
+    def check(batches):
+        for batch in batches:
+            known: dict[str, dict[int, int]] = {}
+            rows = []
+            hosts = batch.column("host").to_pylist()
+            for i, (h, own) in enumerate(zip(hosts, batch.column("tokens").to_pylist(), strict=True)):
+                if h not in known:
+                    known[h] = {x["token"]: x["class"] for x in batch.column("known")[i].as_py()}
+                rows += [(h, *r) for r in checked(own, known[h])]
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*rows, strict=True), (pa.string(), *[pa.int64()] * 3), strict=True)], names=["host", "class", "turn", "place"])
+
+    # Those out of turn go first, then those that aren't nested, as a class may lie in one that goes.
+    while True:
+        of_host = classes.groupBy("host").agg(F.flatten(F.collect_list(F.transform("own", lambda t: F.struct(t.alias("token"), F.col("class").alias("class"))))).alias("known"))
+        size = classes.agg(F.sum(F.size("own") * 16 + 64)).first()[0] or 0
+        told = each.join(F.broadcast(of_host) if size <= BROADCAST else of_host, "host").mapInArrow(check, "host string, class bigint, turn bigint, place bigint")
+        told = told.groupBy("host", "class").agg(F.min("turn").alias("a"), F.max("turn").alias("b"), F.min("place").alias("c"), F.max("place").alias("d"))
+        wrong = told.select("host", "class", F.expr("a <> b or a = 0").alias("unordered"), F.expr("c <> d or c = 0").alias("unnested")).where("unordered or unnested").checkpoint()
+        found = wrong.agg(F.count("*"), F.count_if("unordered")).first()
+        if not found[0]:
+            return classes.groupBy("host").agg(F.array_sort(F.flatten(F.collect_list("own"))).alias("template"))
+        classes = classes.join(wrong.where("unordered") if found[1] else wrong, ["host", "class"], "left_anti").checkpoint()
 
 
 #: Bytes of templates up to which they go to all tasks; beyond it, pages and templates are joined by a shuffle.

@@ -69,6 +69,16 @@ def test_occurrence_vectors_make_classes(spark):
     assert set(tags) <= set(made["a"].template)
 
 
+def test_only_ordered_and_nested_classes_are_the_template(spark):
+    box = '<div class="a">Alpha</div>', '<div class="b">Beta</div>'
+    pages = [(f"http://a/{i}", f"<body><div class='t'>Top</div>{''.join(box[:: -1 if i % 2 else 1])}<p>t{i}</p></body>") for i in range(4)]
+    made = html.templates(spark.createDataFrame(pages, "url string, html string"))
+    assert made.count() == 0  # all are one class, whose tokens come in two turns
+    assert [r[1] != 0 for r in html.checked([1, 5, 2, 3, 5, 4, 9], {1: 7, 2: 7, 3: 7, 4: 7, 5: 8, 9: 8})] == [True, False]  # runs that cross
+    told = {c: (turn != 0, place) for c, turn, place in html.checked([1, 5, 6, 5, 6, 2], {1: 7, 2: 7, 5: 8, 6: 8})}
+    assert told == {7: (True, 1), 8: (True, html._hash(7, 1))}
+
+
 def test_edge_cases(spark):
     deep = "<div>" * 20_000 + "deep" + "</b>" * 1000
     rows = [
