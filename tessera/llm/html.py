@@ -14,7 +14,9 @@ A page's article is what lies in its article (or main) element, else in its
 region, the lowest container of all its text that is neither links nor the
 template's, with all that is nested there: without menus, headers, footers,
 sidebars, notices, adverts, forms, scripts and comments (told by element,
-class, id or role), and without template text outside plain content elements.
+class, id or role), and without template text outside plain content elements,
+if its container holds no slot's text.  A host's pages count by distinct text of
+their articles, so copies aren't taken for a template.
 
 Defined results: null and empty html gives an empty text; a null URL belongs to
 the host ''; repeated rows give the same text; unclosed, stray and deeply nested
@@ -303,13 +305,17 @@ def _within(e: Open, top: Open, known: dict[int, bool]) -> bool:
     return inside
 
 
-def article(blocks: list[Block], template: frozenset[int]) -> str:
-    """The text of a page's article."""
+def inside(blocks: list[Block]) -> list[Block]:
+    """The blocks of the article (or main) element, or all of a page without one, that aren't told to be outside."""
     own = [b for b in blocks if not b.element.out]
     level = max((b.element.article for b in own), default=0)
-    if level:
-        own = [b for b in own if b.element.article == level]
-    else:
+    return [b for b in own if b.element.article == level]
+
+
+def article(blocks: list[Block], template: frozenset[int]) -> str:
+    """The text of a page's article."""
+    own = inside(blocks)
+    if own and not own[0].element.article:
         # The region: the lowest container of all text that is neither links nor the template's.
         slots = [b.element for b in own if b.links < len(b.text) and _hash(b.element.path, "text", b.text) not in template]
         if slots:
@@ -318,7 +324,9 @@ def article(blocks: list[Block], template: frozenset[int]) -> str:
                 top = top.up
             known: dict[int, bool] = {}
             own = [b for b in own if _within(b.element, top, known)]
-    return " ".join(b.text for b in own if b.element.plain and b.element.tag in CONTENT or _hash(b.element.path, "text", b.text) not in template)
+    # Template text goes only if its container has no slot; a page without slots stays whole.
+    filled = {b.element.container for b in own if _hash(b.element.path, "text", b.text) not in template}
+    return " ".join(b.text for b in own if not filled or b.element.container in filled or b.element.plain and b.element.tag in CONTENT)
 
 
 def templates(pages: DataFrame, support: float = 0.5, url: str = "url", html: str = "html") -> DataFrame:
@@ -327,14 +335,15 @@ def templates(pages: DataFrame, support: float = 0.5, url: str = "url", html: st
     def occurrences(batches):
         for batch in batches:
             hosts, texts = plain(batch.column("host")), plain(batch.column("html"))
-            ids = batch.column("id").to_pylist()
             for a, b in slices(texts):
-                found = [tokens(*parse(h)) for h in texts.slice(a, b - a).to_pylist()]
-                names = [_hash(i, len(f)) for i, f in zip(ids[a:b], found, strict=True)]
+                parsed = [parse(h) for h in texts.slice(a, b - a).to_pylist()]
+                found = [tokens(*p) for p in parsed]
+                names = [_hash(*(x.text for x in inside(p[0]))) for p in parsed]
                 yield pa.RecordBatch.from_arrays([hosts.slice(a, b - a).cast(pa.string()), pa.array(names, pa.int64()), pa.array(found, pa.list_(pa.int64()))], names=["host", "page", "tokens"])
 
-    seen = pages.select(F.coalesce(host_of(F.col(url)), F.lit("")).alias("host"), F.col(html).alias("html"), F.xxhash64(F.coalesce(F.col(url), F.lit("")), F.coalesce(F.substring(F.col(html), -64, 64), F.lit(""))).alias("id"))
-    each = seen.mapInArrow(occurrences, "host string, page bigint, tokens array<bigint>").checkpoint()
+    seen = pages.select(F.coalesce(host_of(F.col(url)), F.lit("")).alias("host"), F.col(html).alias("html"))
+    # Pages of a host with the same own text are one page, else an article with many copies would be its host's template.
+    each = seen.mapInArrow(occurrences, "host string, page bigint, tokens array<bigint>").groupBy("host", "page").agg(F.min("tokens").alias("tokens")).checkpoint()
     total = each.groupBy("host").agg(F.count("*").alias("of"))
 
     def counts(batches):

@@ -79,6 +79,17 @@ def test_only_ordered_and_nested_classes_are_the_template(spark):
     assert told == {7: (True, 1), 8: (True, html._hash(7, 1))}
 
 
+def test_copies_keep_their_text(spark):
+    page = '<nav><a>Menu {0}</a></nav><article class="post"><div>Whole text</div></article>'
+    assert extracted(spark, [("http://a.org/1", page.format(0))] * 2) == ["Whole text"] * 2
+    assert extracted(spark, [(f"http://a.org/{i}", page.format(i)) for i in range(4)]) == ["Whole text"] * 4
+    near = '<article class="post"><p class="x">Same on all.</p><p class="x">Only {0}</p></article>'
+    assert extracted(spark, [(f"http://a.org/{i}", near.format(i)) for i in range(4)]) == [f"Same on all. Only {i}" for i in range(4)]
+    tail = '<article><h1 class="t">{0}</h1><div class="body">{1}</div></article>'
+    rows = [(f"http://a.org/{i}", tail.format(i, "Shared" if i < 3 else f"Own {i}")) for i in range(4)]
+    assert extracted(spark, rows) == ["0 Shared", "1 Shared", "2 Shared", "3 Own 3"]
+
+
 def test_edge_cases(spark):
     deep = "<div>" * 20_000 + "deep" + "</b>" * 1000
     rows = [
