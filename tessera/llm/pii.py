@@ -105,7 +105,7 @@ _AT = re.compile(r"@|\(at\)|\[at\]|\sat\s", re.IGNORECASE)
 def candidates(t: str) -> list[Span]:
     """Overlapping proposals.  Within a chain of digit groups a proposal starts and ends with a group."""
     out: list[Span] = []
-    if "@" in t or "(at)" in t or "[at]" in t or " dot " in t:
+    if _AT.search(t):
         out += [(m.start(), 0, m.end()) for m in _SPELLED.finditer(t)]
     for m in _RUNS.finditer(t):
         if m.end() - m.start() < 7:

@@ -50,6 +50,14 @@ def test_added_spans_part_what_the_patterns_run_together():
     assert spans == [("+1 (269) 555-3296", "phone"), ("4524132264652876", "card")]
 
 
+def test_spelled_out_addresses_are_proposed_whatever_their_case():
+    for own in ("jane_42 (AT) mail (DOT) org", "jane_42 [AT] mail [dot] org", "jane_42 at mail.org", "jane_42\tat\tmail\tdot\torg", "jane_42 AT mail DOT org"):
+        text = f"write to {own}, please"
+        assert (9, 0, 9 + len(own)) in pii.candidates(text), own
+    text = "ba tolimo jane_42 (AT) mail (DOT) org"
+    assert [(text[a:b], pii.KINDS[k]) for (a, k, b), _ in pii._spans(pii.train(), [text])[0]] == [(text[10:], "email")]
+
+
 def test_look_alikes_stay():
     texts = ['token = "1beb58b8af68854f0e01b4ad40cdbb6ae7f8b7d1"', "password=b7db7aa4a5fcc78305", "version 1.22.3.444", "order 12345678", "2024-01-02 10 1234 123", "plain words only"]
     assert pii._spans(pii.train(), texts) == [[]] * len(texts)
