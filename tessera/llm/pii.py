@@ -116,11 +116,11 @@ def candidates(t: str) -> list[Span]:
             for j in range(i, len(groups)):
                 b, e = groups[j]
                 digits += e - b
-                if digits > 19 or j - i > 5:
+                if digits > 19:
                     break
-                if digits >= 13 and j - i < 6:
+                if digits >= 13:
                     out.append((a, 2, e))
-                if 9 <= digits <= 15 and j - i < 6:
+                if 9 <= digits <= 15:
                     s = a
                     while s > m.start() and t[s - 1] in "+(":
                         s -= 1

@@ -58,6 +58,15 @@ def test_spelled_out_addresses_are_proposed_whatever_their_case():
     assert [(text[a:b], pii.KINDS[k]) for (a, k, b), _ in pii._spans(pii.train(), [text])[0]] == [(text[10:], "email")]
 
 
+def test_numbers_of_many_groups_are_proposed():
+    text = "+33 (0) 1 23 45 67 89 4524132264652876"
+    assert {(0, 3, 21), (22, 2, 38)} <= set(pii.candidates(text))
+    text = "12 41 11 11 11 11 11 11 11 7"
+    assert (3, 2, 26) in pii.candidates(text)
+    text = " ".join("1" * 40)
+    assert max(len(text[a:e]) for a, _, e in pii.candidates(text)) == 2 * 19 - 1
+
+
 def test_look_alikes_stay():
     texts = ['token = "1beb58b8af68854f0e01b4ad40cdbb6ae7f8b7d1"', "password=b7db7aa4a5fcc78305", "version 1.22.3.444", "order 12345678", "2024-01-02 10 1234 123", "plain words only"]
     assert pii._spans(pii.train(), texts) == [[]] * len(texts)
