@@ -14,14 +14,16 @@
    weighted Jaccard similarity of ``least`` or more are linked.  A second round
    takes the buckets that still hold several components and compares texts of
    each with texts of the bucket's largest, DRAWS pairs drawn anew for each band.
-   A bucket of n texts makes some n comparisons, never n * n.
+   Last rounds compare the texts outside a bucket's largest component with more
+   and more of its texts, at the end with all, so each pair of a bucket is
+   verified, lies in one component, or is excluded by its weights' ratio.
 5. Classes are the components of the links (large-star, small-star).
 
 Nothing is capped or gathered: buckets are aggregated before they are joined,
 and a bucket or component of any size is joined by plain equi-joins that Spark
-splits when they are skewed.  A link is lost only if no band of it agrees, or
-if in two rounds neither text was compared with the other's component through
-a similar text; the classes' recall is measured in the tests.
+splits when they are skewed.  A link is lost only if no band of it agrees; the
+classes' recall is measured in the tests.  Comparisons grow with the square of a
+bucket's texts only as far as these aren't near copies of each other.
 
 Defined results: a document without words, or null, is a class of its own; one
 of 1 to 4 words is a single shingle; repeated rows of an id are one document
@@ -32,6 +34,8 @@ smallest id in the class, whose document stays.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -46,6 +50,10 @@ BANDS, ROWS = 32, 5
 #: Comparisons of a component with its bucket's largest in the second round.
 DRAWS = 4
 BINS = BANDS * ROWS
+#: A bucket's texts that those outside its largest component are compared with, in the first of the last rounds.
+PROBES = 16
+#: Pairs for each text of a bucket up to which all that are left are compared at once.
+FEW = 4
 #: Bytes of ids up to which they go to all tasks; beyond it, they are joined by a shuffle.
 BROADCAST = 64 << 20
 
@@ -143,7 +151,7 @@ def samples(rows: np.ndarray, h: np.ndarray, w: np.ndarray, n: int) -> np.ndarra
 
 
 def sketches(docs: DataFrame, idf: np.ndarray, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Rows id, digest (of the shingles and their counts; null without words) and keys (one for each band)."""
+    """Rows id, digest (of the shingles and their counts; null without words) keys (one for each band) and weight."""
     kind = docs.schema[key].dataType.simpleString()
 
     def sketch(batches):
@@ -161,13 +169,14 @@ def sketches(docs: DataFrame, idf: np.ndarray, key: str = "doc_id", text: str =
                 digests = np.zeros((n, 2), U)
                 for k in range(2):
                     np.add.at(digests[:, k], rows, H.mix(one + U(k + 1)))
+                total = np.bincount(rows, weights=weights(h, count, idf), minlength=n)
                 none = np.bincount(rows, minlength=n) == 0
                 digest = pa.array([None if e else d.tobytes() for e, d in zip(none, digests, strict=True)], pa.binary())
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(0, n * BANDS + 1, BANDS, dtype=np.int32)), pa.array(keys.ravel().view(np.int64)))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, n), digest, lists], names=["id", "digest", "keys"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, n), digest, lists, pa.array(total)], names=["id", "digest", "keys", "weight"])
             tidy()
 
-    return docs.select(key, text).mapInArrow(sketch, f"id {kind}, digest binary, keys array<bigint>")
+    return docs.select(key, text).mapInArrow(sketch, f"id {kind}, digest binary, keys array<bigint>, weight double")
 
 
 def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
@@ -251,11 +260,42 @@ def components(links: DataFrame) -> DataFrame:
         edges = down.union(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct().checkpoint()
 
 
+def rest(members: DataFrame, links: DataFrame, tried: DataFrame, weight: DataFrame, verify: Callable[[DataFrame], DataFrame], least: float) -> DataFrame:
+    """The links with those of all pairs of a bucket whose texts are in different components.
+
+    Growing numbers of a bucket's texts are compared with those outside its
+    largest component, as long as many pairs are left; then all pairs that are.
+    """
+    held, some = members.join(weight, "id").checkpoint(), PROBES
+    while True:
+        roots = components(links)
+        at = held.join(roots, "id", "left").select("key", "id", "weight", F.coalesce("root", "id").alias("root"))
+        parts = at.groupBy("key", "root").agg(F.count("*").alias("n"))
+        open_ = parts.groupBy("key").agg(F.max_by("root", F.struct("n", "root")).alias("top"), F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("same"), F.count("*").alias("parts"))
+        open_ = open_.where("parts > 1").select("key", "top", "n", ((F.col("n") * F.col("n") - F.col("same")) / 2).alias("apart")).checkpoint()
+        left, most, buckets = open_.agg(F.coalesce(F.sum("apart"), F.lit(0)), F.coalesce(F.max("n"), F.lit(0)), F.count("*")).first()
+        if not buckets:
+            return links
+        last = left <= FEW * held.count() or some >= most
+        at = at.join(small(open_, buckets, 40), "key").checkpoint()
+        one = at.where("root <> top").select("key", F.col("id").alias("a"), F.col("root").alias("ra"), F.col("weight").alias("wa"))
+        two = at if last else at.where(F.pmod(F.xxhash64("key", "id"), F.lit(1 << 40)) < F.lit(float(some << 40)) / F.col("n"))
+        two = two.select("key", F.col("id").alias("b"), F.col("root").alias("rb"), F.col("weight").alias("wb"))
+        # A similarity is at most the ratio of the weights.
+        pairs = one.join(two, "key").where("ra <> rb").where(F.least("wa", "wb") >= F.lit(least - 1e-9) * F.greatest("wa", "wb"))
+        pairs = pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+        pairs = pairs.join(tried.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), ["a", "b"], "left_anti").checkpoint()
+        links = links.union(verify(pairs)).checkpoint()
+        if last:
+            return links
+        tried, some = tried.union(pairs), some * 16
+
+
 def classes(docs: DataFrame, least: float = 0.8, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Rows key, class_id, keep: one for each row of ``docs``."""
     idf = idf_table(docs, text)
     drawn = sketches(docs, idf, key, text).checkpoint()
-    reps = drawn.where("digest is not null and id is not null").groupBy("digest").agg(F.min("id").alias("id"), F.first("keys").alias("keys"))
+    reps = drawn.where("digest is not null and id is not null").groupBy("digest").agg(F.min("id").alias("id"), F.first("keys").alias("keys"), F.first("weight").alias("weight"))
     buckets = reps.select("id", F.explode("keys").alias("key"))
     shared = buckets.groupBy("key").agg(F.min("id").alias("b"), F.count("*").alias("n")).where("n > 1").select("key", "b")
     members = buckets.join(shared, "key").select("key", "id", "b").checkpoint()
@@ -270,8 +310,9 @@ def classes(docs: DataFrame, least: float = 0.8, key: str = "doc_id", text: str
     apart = parts.join(largest, "key").where("root <> top.root")
     second = apart.select(F.explode(F.arrays_zip(F.col("drawn").alias("a"), F.col("top.drawn").alias("b"))).alias("p")).select("p.a", "p.b")
     second = second.distinct().join(first, ["a", "b"], "left_anti").checkpoint()
-    more = verified(second, docs, idf, least, key, text)
-    roots = components(links.union(more))
+    links = links.union(verified(second, docs, idf, least, key, text)).checkpoint()
+    links = rest(members, links, first.union(second), reps.select("id", "weight"), lambda pairs: verified(pairs, docs, idf, least, key, text), least)
+    roots = components(links)
     of_text = reps.select("digest", "id").join(roots, "id", "left").select("digest", F.coalesce("root", "id").alias("class_id"))
     out = drawn.select("id", "digest").join(of_text, "digest", "left").select(F.col("id").alias(key), F.coalesce("class_id", "id").alias("class_id"))
     out = out.withColumn("class_id", F.when(F.col(key).isNotNull(), F.col("class_id")))

@@ -61,6 +61,28 @@ def test_classes_against_all_pairs(spark):
     assert wrong <= len(rows) // 100
 
 
+def test_each_pair_of_a_bucket_is_compared(spark, monkeypatch):
+    from tessera.llm.common import prepare
+
+    prepare(spark)
+    members = spark.createDataFrame([(7, i) for i in range(120)] + [(8, 3), (8, 119)], "key bigint, id bigint")
+    weight = spark.createDataFrame([(i, 1.0 if i < 119 else 0.5) for i in range(120)], "id bigint, weight double")
+    links = spark.createDataFrame([(i, 0) for i in range(1, 40)], "a bigint, b bigint")
+    true = {(i, i - 1) for i in range(41, 119, 2)}  # pairs outside the largest component
+    for few in (0, 1000):
+        monkeypatch.setattr(N, "FEW", few)
+        seen = []
+
+        def verify(pairs):
+            seen.extend((r.a, r.b) for r in pairs.collect())
+            return pairs.where("a = b + 1 and a > 40 and a % 2 = 1")
+
+        got = N.rest(members, links, links, weight, verify, 0.8).collect()
+        assert {(r.a, r.b) for r in got} == true | {(i, 0) for i in range(1, 40)}
+        assert len(seen) == len(set(seen))
+        assert not any(119 in p for p in seen)  # its weight is too small
+
+
 def test_joins_beyond_the_bound_give_the_same(spark, monkeypatch):
     docs = spark.createDataFrame(corpus(8)[:120], SCHEMA)
     one = sorted(N.classes(docs).collect())
