@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ctypes
 import os
+import re
 import sys
 import tempfile
 from collections.abc import Iterator
@@ -36,6 +37,9 @@ def prepare(spark: SparkSession) -> SparkSession:
     if ROOT not in sys.path:
         sys.path.insert(0, ROOT)
     if not spark.conf.get("spark.checkpoint.dir", None) and spark.sparkContext.getCheckpointDir() is None:
+        # Only where driver and tasks are one process does a local folder serve.
+        if not re.fullmatch(r"local(\[[^-]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoints-"))
     return spark
 
@@ -72,11 +76,24 @@ def plain(texts: pa.Array) -> pa.Array:
     return pc.fill_null(texts.cast(pa.large_string()), "")
 
 
+def named(name: str) -> Column:
+    """The column of exactly this name, whatever characters it holds."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def fresh(name: str, *frames: DataFrame) -> str:
+    """``name`` with as many underscores behind it as it takes to meet no column of these."""
+    taken = {c.lower() for f in frames for c in f.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def replace_column(df: DataFrame, name: str, value: Column) -> DataFrame:
     """Adds a column in place of all that bear its name, whatever their case."""
-    return df.select(*[F.col(f"`{c}`") for c in df.columns if c.lower() != name.lower()], value.alias(name))
+    return df.select(*[named(c) for c in df.columns if c.lower() != name.lower()], value.alias(name))
 
 
 def fold(key: str, parts: int) -> Column:
     """crc32 of a key's text modulo ``parts``; null keys are in no fold."""
-    return F.crc32(F.col(key).cast("string").cast("binary")) % parts
+    return F.crc32(named(key).cast("string").cast("binary")) % parts

@@ -1,21 +1,23 @@
 """Near-duplicate detection by improved consistent weighted sampling over TF-IDF shingles.
 
 1. Five-word shingles of lower-cased words are hashed to 64 bits.  Document
-   frequencies are counted over all documents in ``2**SLOTS`` hashed slots; the
-   mean load of a slot is taken off, so only shingles that are frequent beyond
-   the sketch's noise count as such, at any size.  A shingle weighs
-   tf * (FLOOR + (1 - FLOOR) * idf), with idf scaled to 0..1.  The floor keeps
-   large groups of copies, whose own shingles are frequent, from drifting apart.
-2. Texts with the same shingles and counts fall together first.
-3. Each text gets ``BANDS * ROWS`` samples, improved consistent weighted
+   frequencies are counted exactly over all documents: hashes go by range to
+   tasks that sort them, and those in at least RARE of all documents are kept
+   with their counts, at most (mean shingles of a document) / RARE, whatever the
+   number of documents.  A shingle weighs tf * (FLOOR + (1 - FLOOR) * idf), where
+   idf is log(documents / frequency) in parts of log(1 / RARE), 1 at most, so a
+   share of the documents means the same at every size.  The floor keeps large
+   groups of copies, whose own shingles are frequent, from drifting apart.
+2. Texts with the same shingles and counts are one node.
+3. Each node gets ``BANDS * ROWS`` samples, improved consistent weighted
    sampling of its shingles' occurrences within hashed bins (empty bins borrow
    from others by a fixed order), and one key for each band of samples.
-4. In each band's bucket all texts are compared with one centre; those with a
+4. In each band's bucket all nodes are compared with one centre; those with a
    weighted Jaccard similarity of ``least`` or more are linked.  A second round
-   takes the buckets that still hold several components and compares texts of
-   each with texts of the bucket's largest, DRAWS pairs drawn anew for each band.
-   Last rounds compare the texts outside a bucket's largest component with more
-   and more of its texts, at the end with all, so each pair of a bucket is
+   takes the buckets that still hold several components and compares nodes of
+   each with nodes of the bucket's largest, DRAWS pairs drawn anew for each band.
+   Last rounds compare the nodes outside a bucket's largest component with more
+   and more of its nodes, at the end with all, so each pair of a bucket is
    verified, lies in one component, or is excluded by its weights' ratio.
 5. Classes are the components of the links (large-star, small-star).
 
@@ -23,18 +25,24 @@ Nothing is capped or gathered: buckets are aggregated before they are joined,
 and a bucket or component of any size is joined by plain equi-joins that Spark
 splits when they are skewed.  A link is lost only if no band of it agrees; the
 classes' recall is measured in the tests.  Comparisons grow with the square of a
-bucket's texts only as far as these aren't near copies of each other.
+bucket's nodes only as far as these aren't near copies of each other.
 
 Defined results: a document without words, or null, is a class of its own; one
-of 1 to 4 words is a single shingle; repeated rows of an id are one document
-(the smallest class counts); a null id has a null class and stays; very long
-texts are read whole; an empty table gives no rows.  The class id is the
-smallest id in the class, whose document stays.
+of 1 to 4 words is a single shingle; very long texts are read whole; an empty
+table gives no rows.  The class id is the smallest id in the class, whose
+document stays.  Each row is judged by its own text: of an id on several rows
+those whose texts are near copies of a smaller id's go, the others stay, and an
+id that is the smallest of several classes gives its number to each.  In
+``classes`` a null id has a null class and stays; ``keep_one`` numbers the rows
+if ids are null or repeated, and so keeps one row of each class (of texts
+without words all).
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -43,9 +51,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import hashing as H
-from .common import plain, slices, tidy
+from .common import fresh, named, plain, slices, tidy
 
-SLOTS, FLOOR = 16, 0.75
+#: Share of all documents from which on a shingle counts as frequent, and the least factor of any shingle.
+RARE, FLOOR = 0.001, 0.75
+#: Bytes of text whose shingles one task counts, and that a part of the corpus is read in.
+COUNTED, READ = 32 << 20, 4 << 20
 BANDS, ROWS = 32, 5
 #: Comparisons of a component with its bucket's largest in the second round.
 DRAWS = 4
@@ -72,44 +83,88 @@ def shingles(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return rows[new], h[new], np.diff(np.r_[new, len(h)])
 
 
-def idf_table(docs: DataFrame, text: str = "text") -> np.ndarray:
-    """The factor of each slot, FLOOR to 1; float32."""
+@dataclass(frozen=True)
+class Idf:
+    """Factors of the frequent shingles, by rising hash; all others have factor 1."""
 
-    def count(batches):
-        total, n = np.zeros(1 << SLOTS, np.int64), 0
+    hashes: np.ndarray
+    factors: np.ndarray
+
+    def __call__(self, h: np.ndarray) -> np.ndarray:
+        out = np.ones(len(h))
+        if len(self.hashes):
+            maybe = np.zeros(1 << 16, bool)
+            maybe[(self.hashes >> U(48)).astype(np.int64)] = True
+            some = np.flatnonzero(maybe[(h >> U(48)).astype(np.int64)])
+            at = np.minimum(np.searchsorted(self.hashes, h[some]), len(self.hashes) - 1)
+            hit = self.hashes[at] == h[some]
+            out[some[hit]] = self.factors[at[hit]]
+        return out
+
+
+def _counted(h: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct hashes in rising order with the sums of their counts."""
+    order = np.argsort(h, kind="stable")
+    h, n = h[order], n[order]
+    new = np.flatnonzero(np.r_[True, h[1:] != h[:-1]]) if len(h) else np.empty(0, np.int64)
+    return h[new], np.add.reduceat(n, new) if len(h) else n
+
+
+def idf_of(docs: DataFrame, text: str = "text") -> Idf:
+    """Exact document frequencies of all shingles, and the factors of those in RARE of the documents."""
+    total, size = docs.agg(F.count("*"), F.coalesce(F.sum(F.octet_length(named(text).cast("string"))), F.lit(0))).first()
+    bits = max(4, int(size // COUNTED).bit_length())
+    least = max(2, math.ceil(RARE * total))
+
+    def deal(batches):
         for batch in batches:
             texts = plain(batch.column(0))
-            for a, b in slices(texts):
-                rows, h, _ = shingles(texts.slice(a, b - a))
-                slot = (h >> U(64 - SLOTS)).astype(np.int64)
-                total += np.bincount(slot, minlength=1 << SLOTS)
-            n += len(texts)
+            for a, b in slices(texts, READ):
+                found = [shingles(texts.slice(a + x, y - x))[1] for x, y in slices(texts.slice(a, b - a))]
+                h, n = np.unique(np.concatenate(found), return_counts=True)
+                cut = np.searchsorted(h, np.arange(1, 1 << bits, dtype=U) << U(64 - bits))
+                # Counts are nearly all 1, so only the others are sent.
+                parts = [(i, own.tobytes(), np.flatnonzero(c > 1).astype(np.uint32).tobytes(), c[c > 1].astype(np.uint32).tobytes()) for i, (own, c) in enumerate(zip(np.split(h, cut), np.split(n, cut), strict=True)) if len(own)]
+                if parts:
+                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*parts, strict=True), (pa.int32(), *[pa.binary()] * 3), strict=True)], names=["part", "h", "at", "n"])
             tidy()
-        if n:
-            used = np.flatnonzero(total)
-            yield pa.RecordBatch.from_arrays([pa.array(np.append(used, -1)), pa.array(np.append(total[used], n))], names=["slot", "n"])
-
-    got = docs.select(text).mapInArrow(count, "slot bigint, n bigint").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
-    load = np.zeros(1 << SLOTS)
-    slot, n = np.asarray(got["slot"]), np.asarray(got["n"])
-    total = max(1, int(n[slot < 0].sum()))
-    load[slot[slot >= 0]] = n[slot >= 0]
-    mean = load.mean()
-    frequency = np.maximum(1.0, load - mean - 4 * np.sqrt(mean))
-    idf = np.log1p(total / frequency) / np.log1p(total)
-    return (FLOOR + (1 - FLOOR) * idf).astype(np.float32)
-
-
-def weights(h: np.ndarray, count: np.ndarray, idf: np.ndarray) -> np.ndarray:
+
+    def add(batches):
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        new = 0
+        for batch in batches:
+            for h, at, n in zip(*(batch.column(c) for c in ("h", "at", "n")), strict=True):
+                own = np.frombuffer(h.as_buffer(), U)
+                count = np.ones(len(own), np.int64)
+                count[np.frombuffer(at.as_buffer(), np.uint32)] = np.frombuffer(n.as_buffer(), np.uint32)
+                held.append((own, count))
+                new += len(own)
+            if new > 4 << 20:
+                held, new = [_counted(*map(np.concatenate, zip(*held, strict=True)))], 0
+        if held:
+            h, n = _counted(*map(np.concatenate, zip(*held, strict=True)))
+            some = n >= least
+            yield pa.RecordBatch.from_arrays([pa.array(h[some].view(np.int64)), pa.array(n[some])], names=["h", "n"])
+        tidy()
+
+    dealt = docs.select(named(text).alias("t")).mapInArrow(deal, "part int, h binary, at binary, n binary").repartition(1 << bits, "part")
+    got = dealt.mapInArrow(add, "h bigint, n bigint").toArrow()
+    h, n = np.asarray(got["h"]).view(U), np.asarray(got["n"]).astype(np.float64)
+    order = np.argsort(h)
+    idf = np.minimum(1.0, np.log(np.maximum(1.0, total / n[order])) / np.log(1 / RARE))
+    return Idf(h[order], FLOOR + (1 - FLOOR) * idf)
+
+
+def weights(h: np.ndarray, count: np.ndarray, idf: Idf) -> np.ndarray:
     """TF-IDF weights of shingles."""
-    return count * idf[(h >> U(64 - SLOTS)).astype(np.int64)].astype(np.float64)
+    return count * idf(h)
 
 
 def _uniform(h: np.ndarray, k: int) -> np.ndarray:
     return ((H.mix(h + U(0x9E3779B97F4A7C15 * k & 0xFFFFFFFFFFFFFFFF)) >> U(11)).astype(np.float64) + 0.5) * 2.0**-53
 
 
-def expanded(rows: np.ndarray, h: np.ndarray, count: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def expanded(rows: np.ndarray, h: np.ndarray, count: np.ndarray, idf: Idf) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Each occurrence of a shingle as an element of its own, weighing its IDF factor.
 
     The sets' weighted Jaccard similarity stays the same.  A shingle that a
@@ -150,7 +205,17 @@ def samples(rows: np.ndarray, h: np.ndarray, w: np.ndarray, n: int) -> np.ndarra
     return out
 
 
-def sketches(docs: DataFrame, idf: np.ndarray, key: str = "doc_id", text: str = "text") -> DataFrame:
+def digests(rows: np.ndarray, h: np.ndarray, count: np.ndarray, n: int) -> pa.Array:
+    """For each row 16 bytes that tell its shingles and their counts; null without any."""
+    one = H.mix(h ^ (count.astype(U) * U(0xE7037ED1A0B428DB)))
+    out = np.zeros((n, 2), U)
+    for k in range(2):
+        np.add.at(out[:, k], rows, H.mix(one + U(k + 1)))
+    none = np.bincount(rows, minlength=n) == 0
+    return pa.array([None if e else d.tobytes() for e, d in zip(none, out, strict=True)], pa.binary())
+
+
+def sketches(docs: DataFrame, idf: Idf, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Rows id, digest (of the shingles and their counts; null without words) keys (one for each band) and weight."""
     kind = docs.schema[key].dataType.simpleString()
 
@@ -165,18 +230,12 @@ def sketches(docs: DataFrame, idf: np.ndarray, key: str = "doc_id", text: str =
                 for k in range(ROWS):
                     keys += own[:, k * BANDS : (k + 1) * BANDS] * H._PLACES[k]
                 keys = H.mix(keys + np.arange(1, BANDS + 1, dtype=U) * U(0xA0761D6478BD642F))
-                one = H.mix(h ^ (count.astype(U) * U(0xE7037ED1A0B428DB)))
-                digests = np.zeros((n, 2), U)
-                for k in range(2):
-                    np.add.at(digests[:, k], rows, H.mix(one + U(k + 1)))
                 total = np.bincount(rows, weights=weights(h, count, idf), minlength=n)
-                none = np.bincount(rows, minlength=n) == 0
-                digest = pa.array([None if e else d.tobytes() for e, d in zip(none, digests, strict=True)], pa.binary())
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(0, n * BANDS + 1, BANDS, dtype=np.int32)), pa.array(keys.ravel().view(np.int64)))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, n), digest, lists, pa.array(total)], names=["id", "digest", "keys", "weight"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, n), digests(rows, h, count, n), lists, pa.array(total.astype(np.float64))], names=["id", "digest", "keys", "weight"])
             tidy()
 
-    return docs.select(key, text).mapInArrow(sketch, f"id {kind}, digest binary, keys array<bigint>, weight double")
+    return docs.select(named(key).alias("id"), named(text).alias("t")).mapInArrow(sketch, f"id {kind}, digest binary, keys array<bigint>, weight double")
 
 
 def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
@@ -190,7 +249,7 @@ def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray
     return float(common / (wa.sum() + wb.sum() - common))
 
 
-def _sets(texts: pa.Array, idf: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+def _sets(texts: pa.Array, idf: Idf) -> list[tuple[np.ndarray, np.ndarray]]:
     out = []
     for a, b in slices(texts):
         rows, h, count = shingles(texts.slice(a, b - a))
@@ -205,14 +264,33 @@ def small(df: DataFrame, rows: int, width: int = 16) -> DataFrame:
     return F.broadcast(df) if rows * width <= BROADCAST else df
 
 
-def verified(pairs: DataFrame, docs: DataFrame, idf: np.ndarray, least: float, key: str, text: str) -> DataFrame:
-    """The pairs (a, b) whose weighted Jaccard similarity is ``least`` or more."""
-    wanted = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
-    texts = docs.select(F.col(key).alias("id"), F.col(text).alias("t")).join(small(wanted, 2 * pairs.count()), "id")
-    texts = texts.groupBy("id").agg(F.min("t").alias("t")) if _repeats(docs, key) else texts
-    left = pairs.join(texts.withColumnsRenamed({"id": "a", "t": "ta"}), "a")
-    both = left.join(texts.withColumnsRenamed({"id": "b", "t": "tb"}), "b").select("a", "b", "ta", "tb")
-    kind = pairs.schema["a"].dataType.simpleString()
+def texts_of(nodes: DataFrame, docs: DataFrame, key: str, text: str) -> DataFrame:
+    """Rows node, t: a text of each node (rows node, id and digest)."""
+    met = docs.select(named(key).alias("id"), named(text).alias("t")).join(nodes, "id")
+    if not repeats(docs, key):
+        return met.select("node", "t")
+
+    def own(batches):
+        for batch in batches:
+            texts = plain(batch.column("t"))
+            found = [digests(*shingles(texts.slice(a, b - a)), b - a) for a, b in slices(texts)]
+            if found:
+                good = batch.select(["node", "t"]).filter(pc.equal(pa.concat_arrays(found), batch.column("digest")))
+                yield good
+            tidy()
+
+    same = met.select("node", "t", "digest").mapInArrow(own, "node bigint, t string")
+    return same.groupBy("node").agg(F.min("t").alias("t"))
+
+
+def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, idf: Idf, least: float, key: str, text: str) -> DataFrame:
+    """The pairs of nodes (a, b) whose weighted Jaccard similarity is ``least`` or more."""
+    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
+    count = 2 * pairs.count()
+    asked = nodes.select("node", "id", "digest").join(small(wanted, count), "node")
+    texts = texts_of(small(asked, count, 64), docs, key, text)
+    left = pairs.join(texts.withColumnsRenamed({"node": "a", "t": "ta"}), "a")
+    both = left.join(texts.withColumnsRenamed({"node": "b", "t": "tb"}), "b").select("a", "b", "ta", "tb")
 
     def check(batches):
         last: tuple = (None, None)
@@ -234,23 +312,23 @@ def verified(pairs: DataFrame, docs: DataFrame, idf: np.ndarray, least: float, k
                     yield pa.RecordBatch.from_arrays([good.column("a"), good.column("b")], names=["a", "b"])
             tidy()
 
-    return both.mapInArrow(check, f"a {kind}, b {kind}")
+    return both.mapInArrow(check, "a bigint, b bigint")
 
 
-def _repeats(docs: DataFrame, key: str) -> bool:
+def repeats(docs: DataFrame, key: str) -> bool:
     """Whether an id occurs on several rows."""
-    ids = docs.select(key).where(F.col(key).isNotNull())
-    return ids.groupBy(key).count().where("count > 1").limit(1).count() > 0
+    ids = docs.select(named(key).alias("id")).where("id is not null")
+    return ids.groupBy("id").count().where("count > 1").limit(1).count() > 0
 
 
 def components(links: DataFrame) -> DataFrame:
-    """Rows id, root: for each linked id the smallest id of its component."""
+    """Rows node, root: for each linked node the smallest of its component."""
     edges = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct().checkpoint()
     before = None
     while True:
         state = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % 1_000_003)).first()
         if before is not None and tuple(state) == before:
-            return edges.select(F.col("u").alias("id"), F.col("v").alias("root"))
+            return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
         before = tuple(state)
         near = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = near.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u"), F.least("u", "m").alias("m"))
@@ -261,15 +339,15 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def rest(members: DataFrame, links: DataFrame, tried: DataFrame, weight: DataFrame, verify: Callable[[DataFrame], DataFrame], least: float) -> DataFrame:
-    """The links with those of all pairs of a bucket whose texts are in different components.
+    """The links with those of all pairs of a bucket whose nodes are in different components.
 
-    Growing numbers of a bucket's texts are compared with those outside its
+    Growing numbers of a bucket's nodes are compared with those outside its
     largest component, as long as many pairs are left; then all pairs that are.
     """
-    held, some = members.join(weight, "id").checkpoint(), PROBES
+    held, some = members.join(weight, "node").checkpoint(), PROBES
     while True:
         roots = components(links)
-        at = held.join(roots, "id", "left").select("key", "id", "weight", F.coalesce("root", "id").alias("root"))
+        at = held.join(roots, "node", "left").select("key", "node", "weight", F.coalesce("root", "node").alias("root"))
         parts = at.groupBy("key", "root").agg(F.count("*").alias("n"))
         open_ = parts.groupBy("key").agg(F.max_by("root", F.struct("n", "root")).alias("top"), F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("same"), F.count("*").alias("parts"))
         open_ = open_.where("parts > 1").select("key", "top", "n", ((F.col("n") * F.col("n") - F.col("same")) / 2).alias("apart")).checkpoint()
@@ -278,9 +356,9 @@ def rest(members: DataFrame, links: DataFrame, tried: DataFrame, weight: DataFra
             return links
         last = left <= FEW * held.count() or some >= most
         at = at.join(small(open_, buckets, 40), "key").checkpoint()
-        one = at.where("root <> top").select("key", F.col("id").alias("a"), F.col("root").alias("ra"), F.col("weight").alias("wa"))
-        two = at if last else at.where(F.pmod(F.xxhash64("key", "id"), F.lit(1 << 40)) < F.lit(float(some << 40)) / F.col("n"))
-        two = two.select("key", F.col("id").alias("b"), F.col("root").alias("rb"), F.col("weight").alias("wb"))
+        one = at.where("root <> top").select("key", F.col("node").alias("a"), F.col("root").alias("ra"), F.col("weight").alias("wa"))
+        two = at if last else at.where(F.pmod(F.xxhash64("key", "node"), F.lit(1 << 40)) < F.lit(float(some << 40)) / F.col("n"))
+        two = two.select("key", F.col("node").alias("b"), F.col("root").alias("rb"), F.col("weight").alias("wb"))
         # A similarity is at most the ratio of the weights.
         pairs = one.join(two, "key").where("ra <> rb").where(F.least("wa", "wb") >= F.lit(least - 1e-9) * F.greatest("wa", "wb"))
         pairs = pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
@@ -293,33 +371,42 @@ def rest(members: DataFrame, links: DataFrame, tried: DataFrame, weight: DataFra
 
 def classes(docs: DataFrame, least: float = 0.8, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Rows key, class_id, keep: one for each row of ``docs``."""
-    idf = idf_table(docs, text)
+    idf = idf_of(docs, text)
     drawn = sketches(docs, idf, key, text).checkpoint()
-    reps = drawn.where("digest is not null and id is not null").groupBy("digest").agg(F.min("id").alias("id"), F.first("keys").alias("keys"), F.first("weight").alias("weight"))
-    buckets = reps.select("id", F.explode("keys").alias("key"))
-    shared = buckets.groupBy("key").agg(F.min("id").alias("b"), F.count("*").alias("n")).where("n > 1").select("key", "b")
-    members = buckets.join(shared, "key").select("key", "id", "b").checkpoint()
-    first = members.where("id <> b").select(F.col("id").alias("a"), "b").distinct().checkpoint()
-    links = verified(first, docs, idf, least, key, text).checkpoint()
+    texts = drawn.where("digest is not null and id is not null").groupBy("digest")
+    reps = texts.agg(F.min("id").alias("id"), F.first("keys").alias("keys"), F.first("weight").alias("weight")).withColumn("node", F.monotonically_increasing_id()).checkpoint()
+    buckets = reps.select("node", F.explode("keys").alias("key"))
+    shared = buckets.groupBy("key").agg(F.min("node").alias("b"), F.count("*").alias("n")).where("n > 1").select("key", "b")
+    members = buckets.join(shared, "key").select("key", "node", "b").checkpoint()
+    verify = lambda pairs: verified(pairs, reps, docs, idf, least, key, text)
+    first = members.where("node <> b").select(F.col("node").alias("a"), "b").distinct().checkpoint()
+    links = verify(first).checkpoint()
     roots = components(links)
     # Second round: buckets that still hold several components.
-    rooted = members.select("key", "id").join(roots, "id", "left").select("key", "id", F.coalesce("root", "id").alias("root"))
-    draws = [F.min_by("id", F.xxhash64("id", "key", F.lit(k))).alias(f"r{k}") for k in range(DRAWS)]
+    rooted = members.select("key", "node").join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
+    draws = [F.min_by("node", F.xxhash64("node", "key", F.lit(k))).alias(f"r{k}") for k in range(DRAWS)]
     parts = rooted.groupBy("key", "root").agg(F.count("*").alias("n"), F.array(*draws).alias("drawn"))
     largest = parts.groupBy("key").agg(F.max_by(F.struct("root", "drawn"), F.struct("n", "root")).alias("top"), F.count("*").alias("n")).where("n > 1").select("key", "top")
     apart = parts.join(largest, "key").where("root <> top.root")
     second = apart.select(F.explode(F.arrays_zip(F.col("drawn").alias("a"), F.col("top.drawn").alias("b"))).alias("p")).select("p.a", "p.b")
     second = second.distinct().join(first, ["a", "b"], "left_anti").checkpoint()
-    links = links.union(verified(second, docs, idf, least, key, text)).checkpoint()
-    links = rest(members, links, first.union(second), reps.select("id", "weight"), lambda pairs: verified(pairs, docs, idf, least, key, text), least)
-    roots = components(links)
-    of_text = reps.select("digest", "id").join(roots, "id", "left").select("digest", F.coalesce("root", "id").alias("class_id"))
-    out = drawn.select("id", "digest").join(of_text, "digest", "left").select(F.col("id").alias(key), F.coalesce("class_id", "id").alias("class_id"))
-    out = out.withColumn("class_id", F.when(F.col(key).isNotNull(), F.col("class_id")))
-    return out.withColumn("keep", F.coalesce(F.col(key) == F.col("class_id"), F.lit(True)))
+    links = links.union(verify(second)).checkpoint()
+    links = rest(members.select("key", "node"), links, first.union(second), reps.select("node", "weight"), verify, least)
+    rooted = reps.select("digest", "node", "id").join(components(links), "node", "left").select("digest", "id", F.coalesce("root", "node").alias("root"))
+    # Of equal smallest ids in a class, the one with the smallest digest stays.
+    tops = rooted.groupBy("root").agg(F.min(F.struct("id", "digest")).alias("top"))
+    of_text = rooted.join(tops, "root").select("digest", F.col("top.id").alias("class_id"), (F.col("digest") == F.col("top.digest")).alias("own"))
+    out = drawn.select("id", "digest").join(of_text, "digest", "left").select(F.col("id").alias(key), F.coalesce("class_id", "id").alias("class_id"), F.coalesce("own", F.lit(True)).alias("own"))
+    out = out.withColumn("class_id", F.when(named(key).isNotNull(), F.col("class_id")))
+    return out.select(named(key), "class_id", F.coalesce(F.col("own") & (named(key) == F.col("class_id")), F.lit(True)).alias("keep"))
 
 
 def keep_one(docs: DataFrame, least: float = 0.8, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The documents without those that a near copy with a smaller id stands for."""
-    gone = classes(docs, least, key, text).where(~F.col("keep")).select(key).distinct().checkpoint()
-    return docs.join(small(gone, gone.count()), key, "left_anti").select(*docs.columns)
+    """One row of each class, that with the smallest id (the first of several)."""
+    own, by = docs, key
+    if docs.where(named(key).isNull()).limit(1).count() or repeats(docs, key):
+        by = fresh("_row", docs)
+        number = F.struct(named(key).isNull().alias("none"), named(key).alias("id"), F.monotonically_increasing_id().alias("row"))
+        own = docs.withColumn(by, number).checkpoint()
+    gone = classes(own, least, by, text).where(~F.col("keep")).select(named(by)).checkpoint()
+    return own.join(small(gone, gone.count(), 40), by, "left_anti").select(*[named(c) for c in docs.columns])
