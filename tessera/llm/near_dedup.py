@@ -1,10 +1,10 @@
 """Near-duplicate detection by improved consistent weighted sampling over TF-IDF shingles.
 
 1. Five-word shingles of lower-cased words are hashed to 64 bits.  Document
-   frequencies are counted exactly over all documents: hashes go by range to
-   tasks that sort them, and those in at least RARE of all documents are kept
-   with their counts, at most (mean shingles of a document) / RARE, whatever the
-   number of documents.  A shingle weighs tf * (FLOOR + (1 - FLOOR) * idf), where
+   frequencies are exact for all shingles in at least RARE of all documents, at
+   most (mean shingles of a document) / RARE, whatever the number of documents:
+   such a shingle lies in RARE / 2 of the documents of some group of them, and
+   those that do are counted in a second pass.  A shingle weighs tf * (FLOOR + (1 - FLOOR) * idf), where
    idf is log(documents / frequency) in parts of log(1 / RARE), 1 at most, so a
    share of the documents means the same at every size.  The floor keeps large
    groups of copies, whose own shingles are frequent, from drifting apart.
@@ -55,8 +55,8 @@ from .common import fresh, named, plain, slices, tidy
 
 #: Share of all documents from which on a shingle counts as frequent, and the least factor of any shingle.
 RARE, FLOOR = 0.001, 0.75
-#: Bytes of text whose shingles one task counts, and that a part of the corpus is read in.
-COUNTED, READ = 32 << 20, 4 << 20
+#: Shingles of a group of documents, counted together in a task's memory.
+HELD = 6 << 20
 BANDS, ROWS = 32, 5
 #: Comparisons of a component with its bucket's largest in the second round.
 DRAWS = 4
@@ -90,68 +90,73 @@ class Idf:
     hashes: np.ndarray
     factors: np.ndarray
 
+    def find(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which of ``h`` are frequent, and their places; a bit table rules out most before the exact search."""
+        maybe = np.zeros(1 << 20, bool)
+        maybe[self.hashes >> U(44)] = True
+        some = np.flatnonzero(maybe[h >> U(44)])
+        at = np.searchsorted(self.hashes, h[some])
+        hit = at < len(self.hashes)
+        some, at = some[hit], at[hit]
+        hit = self.hashes[at] == h[some]
+        return some[hit], at[hit]
+
     def __call__(self, h: np.ndarray) -> np.ndarray:
         out = np.ones(len(h))
-        if len(self.hashes):
-            maybe = np.zeros(1 << 16, bool)
-            maybe[(self.hashes >> U(48)).astype(np.int64)] = True
-            some = np.flatnonzero(maybe[(h >> U(48)).astype(np.int64)])
-            at = np.minimum(np.searchsorted(self.hashes, h[some]), len(self.hashes) - 1)
-            hit = self.hashes[at] == h[some]
-            out[some[hit]] = self.factors[at[hit]]
+        some, at = self.find(h)
+        out[some] = self.factors[at]
         return out
 
 
-def _counted(h: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct hashes in rising order with the sums of their counts."""
-    order = np.argsort(h, kind="stable")
-    h, n = h[order], n[order]
-    new = np.flatnonzero(np.r_[True, h[1:] != h[:-1]]) if len(h) else np.empty(0, np.int64)
-    return h[new], np.add.reduceat(n, new) if len(h) else n
+def idf_of(docs: DataFrame, text: str = "text") -> Idf:
+    """Exact document frequencies over all documents, and the factors of the shingles in RARE of them."""
+    texts, total = docs.select(named(text).alias("t")), docs.count()
+    least, missed = max(2, math.ceil(RARE * total)), RARE / 2 * total
 
+    def frequent(batches):
+        """The shingles in RARE / 2 of a group's documents; of any other shingle all groups leave out less than ``missed``."""
+        held: list[np.ndarray] = []
+        size = seen = 0
 
-def idf_of(docs: DataFrame, text: str = "text") -> Idf:
-    """Exact document frequencies of all shingles, and the factors of those in RARE of the documents."""
-    total, size = docs.agg(F.count("*"), F.coalesce(F.sum(F.octet_length(named(text).cast("string"))), F.lit(0))).first()
-    bits = max(4, int(size // COUNTED).bit_length())
-    least = max(2, math.ceil(RARE * total))
+        def flush():
+            h, n = np.unique(np.concatenate(held), return_counts=True)
+            some = n >= RARE / 2 * seen
+            return pa.RecordBatch.from_arrays([pa.array(h[some].view(np.int64)), pa.array(n[some], pa.int64())], names=["h", "n"])
 
-    def deal(batches):
         for batch in batches:
-            texts = plain(batch.column(0))
-            for a, b in slices(texts, READ):
-                found = [shingles(texts.slice(a + x, y - x))[1] for x, y in slices(texts.slice(a, b - a))]
-                h, n = np.unique(np.concatenate(found), return_counts=True)
-                cut = np.searchsorted(h, np.arange(1, 1 << bits, dtype=U) << U(64 - bits))
-                # Counts are nearly all 1, so only the others are sent.
-                parts = [(i, own.tobytes(), np.flatnonzero(c > 1).astype(np.uint32).tobytes(), c[c > 1].astype(np.uint32).tobytes()) for i, (own, c) in enumerate(zip(np.split(h, cut), np.split(n, cut), strict=True)) if len(own)]
-                if parts:
-                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*parts, strict=True), (pa.int32(), *[pa.binary()] * 3), strict=True)], names=["part", "h", "at", "n"])
-            tidy()
+            own = plain(batch.column(0))
+            for a, b in slices(own):
+                held.append(shingles(own.slice(a, b - a))[1])
+                size, seen = size + len(held[-1]), seen + b - a
+                if size > HELD:
+                    yield flush()
+                    held, size, seen = [], 0, 0
+        if held:
+            yield flush()
+        tidy()
 
-    def add(batches):
-        held: list[tuple[np.ndarray, np.ndarray]] = []
-        new = 0
+    found = texts.mapInArrow(frequent, "h bigint, n bigint").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") > least - missed)
+    asked = Idf(np.sort(np.asarray(found.select("h").toArrow()["h"]).view(U)), np.empty(0))
+    if not len(asked.hashes):
+        return asked
+
+    def exact(batches):
+        """In how many of a task's documents each of these lies."""
+        n = np.zeros(len(asked.hashes), np.int64)
         for batch in batches:
-            for h, at, n in zip(*(batch.column(c) for c in ("h", "at", "n")), strict=True):
-                own = np.frombuffer(h.as_buffer(), U)
-                count = np.ones(len(own), np.int64)
-                count[np.frombuffer(at.as_buffer(), np.uint32)] = np.frombuffer(n.as_buffer(), np.uint32)
-                held.append((own, count))
-                new += len(own)
-            if new > 4 << 20:
-                held, new = [_counted(*map(np.concatenate, zip(*held, strict=True)))], 0
-        if held:
-            h, n = _counted(*map(np.concatenate, zip(*held, strict=True)))
-            some = n >= least
-            yield pa.RecordBatch.from_arrays([pa.array(h[some].view(np.int64)), pa.array(n[some])], names=["h", "n"])
+            own = plain(batch.column(0))
+            for a, b in slices(own):
+                h, rows = H.ngrams(*H.words(own.slice(a, b - a)), 5, whole_short=True)
+                i, at = asked.find(h)
+                n += np.bincount(np.unique(rows[i] * len(n) + at) % len(n), minlength=len(n))
         tidy()
+        some = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(asked.hashes[some].view(np.int64)), pa.array(n[some])], names=["h", "n"])
 
-    dealt = docs.select(named(text).alias("t")).mapInArrow(deal, "part int, h binary, at binary, n binary").repartition(1 << bits, "part")
-    got = dealt.mapInArrow(add, "h bigint, n bigint").toArrow()
+    got = texts.mapInArrow(exact, "h bigint, n bigint").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= least).toArrow()
     h, n = np.asarray(got["h"]).view(U), np.asarray(got["n"]).astype(np.float64)
     order = np.argsort(h)
-    idf = np.minimum(1.0, np.log(np.maximum(1.0, total / n[order])) / np.log(1 / RARE))
+    idf = np.minimum(1.0, np.log(total / n[order]) / np.log(1 / RARE))
     return Idf(h[order], FLOOR + (1 - FLOOR) * idf)
 
 

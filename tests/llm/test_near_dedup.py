@@ -157,7 +157,7 @@ def test_odd_column_names(spark):
 
 
 def test_frequencies_are_exact_and_count_over_all_documents(spark, monkeypatch):
-    monkeypatch.setattr(N, "COUNTED", 1 << 10)
+    monkeypatch.setattr(N, "HELD", 1 << 10)
     rows = corpus(6)
     docs = spark.createDataFrame(rows, SCHEMA).repartition(7)
     found = [N.shingles(plain(pa.array([t])))[1] for _, t, _ in rows]
