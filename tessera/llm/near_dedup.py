@@ -23,8 +23,8 @@
 
 Nothing is capped or gathered: buckets are aggregated before they are joined,
 and a bucket or component of any size is joined by plain equi-joins that Spark
-splits when they are skewed.  A link is lost only if no band of it agrees; the
-classes' recall is measured in the tests.  Comparisons grow with the square of a
+splits when they are skewed.  A link is lost only if fewer than AGREE bands of it
+agree; the classes' recall is measured in the tests.  Comparisons grow with the square of a
 bucket's nodes only as far as these aren't near copies of each other.
 
 Defined results: a document without words, or null, is a class of its own; one
@@ -63,6 +63,10 @@ DRAWS = 4
 BINS = BANDS * ROWS
 #: A bucket's texts that those outside its largest component are compared with, in the first of the last rounds.
 PROBES = 16
+#: Bands that agree in a pair that the last rounds verify.
+AGREE = 3
+#: Documents that a group has if there are many, for shingles in RARE / 2 of them to say something.
+GROUP_BITS = 13
 #: Pairs for each text of a bucket up to which all that are left are compared at once.
 FEW = 4
 #: Bytes of ids up to which they go to all tasks; beyond it, they are joined by a shuffle.
@@ -110,7 +114,9 @@ class Idf:
 
 def idf_of(docs: DataFrame, text: str = "text") -> Idf:
     """Exact document frequencies over all documents, and the factors of the shingles in RARE of them."""
-    texts, total = docs.select(named(text).alias("t")), docs.count()
+    total = docs.count()
+    tasks = max(total >> GROUP_BITS, 2 * docs.sparkSession.sparkContext.defaultParallelism)
+    texts = docs.select(named(text).alias("t")).coalesce(tasks)
     least, missed = max(2, math.ceil(RARE * total)), RARE / 2 * total
 
     def frequent(batches):
@@ -343,29 +349,31 @@ def components(links: DataFrame) -> DataFrame:
         edges = down.union(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct().checkpoint()
 
 
-def rest(members: DataFrame, links: DataFrame, tried: DataFrame, weight: DataFrame, verify: Callable[[DataFrame], DataFrame], least: float) -> DataFrame:
-    """The links with those of all pairs of a bucket whose nodes are in different components.
+def rest(members: DataFrame, links: DataFrame, tried: DataFrame, marks: DataFrame, verify: Callable[[DataFrame], DataFrame], least: float) -> DataFrame:
+    """The links with those of all pairs of a bucket whose nodes are in different components; marks: node, weight and keys.
 
     Growing numbers of a bucket's nodes are compared with those outside its
     largest component, as long as many pairs are left; then all pairs that are.
     """
-    held, some = members.join(weight, "node").checkpoint(), PROBES
+    low = F.transform("keys", lambda k: k.bitwiseAND(0x7FFF).cast("smallint"))
+    some = PROBES
     while True:
         roots = components(links)
-        at = held.join(roots, "node", "left").select("key", "node", "weight", F.coalesce("root", "node").alias("root"))
+        at = members.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
         parts = at.groupBy("key", "root").agg(F.count("*").alias("n"))
         open_ = parts.groupBy("key").agg(F.max_by("root", F.struct("n", "root")).alias("top"), F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("same"), F.count("*").alias("parts"))
         open_ = open_.where("parts > 1").select("key", "top", "n", ((F.col("n") * F.col("n") - F.col("same")) / 2).alias("apart")).checkpoint()
         left, most, buckets = open_.agg(F.coalesce(F.sum("apart"), F.lit(0)), F.coalesce(F.max("n"), F.lit(0)), F.count("*")).first()
         if not buckets:
             return links
-        last = left <= FEW * held.count() or some >= most
-        at = at.join(small(open_, buckets, 40), "key").checkpoint()
-        one = at.where("root <> top").select("key", F.col("node").alias("a"), F.col("root").alias("ra"), F.col("weight").alias("wa"))
+        last = left <= FEW * members.count() or some >= most
+        at = at.join(small(open_, buckets, 40), "key").join(marks.select("node", "weight", low.alias("low")), "node").checkpoint()
+        one = at.where("root <> top").select("key", F.col("node").alias("a"), F.col("root").alias("ra"), F.col("weight").alias("wa"), F.col("low").alias("la"))
         two = at if last else at.where(F.pmod(F.xxhash64("key", "node"), F.lit(1 << 40)) < F.lit(float(some << 40)) / F.col("n"))
-        two = two.select("key", F.col("node").alias("b"), F.col("root").alias("rb"), F.col("weight").alias("wb"))
+        two = two.select("key", F.col("node").alias("b"), F.col("root").alias("rb"), F.col("weight").alias("wb"), F.col("low").alias("lb"))
         # A similarity is at most the ratio of the weights.
-        pairs = one.join(two, "key").where("ra <> rb").where(F.least("wa", "wb") >= F.lit(least - 1e-9) * F.greatest("wa", "wb"))
+        agree = F.aggregate(F.zip_with("la", "lb", lambda x, y: (x == y).cast("int")), F.lit(0), lambda n, x: n + x)
+        pairs = one.join(two, "key").where("ra <> rb").where(F.least("wa", "wb") >= F.lit(least - 1e-9) * F.greatest("wa", "wb")).where(agree >= AGREE)
         pairs = pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
         pairs = pairs.join(tried.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), ["a", "b"], "left_anti").checkpoint()
         links = links.union(verify(pairs)).checkpoint()
@@ -396,7 +404,7 @@ def classes(docs: DataFrame, least: float = 0.8, key: str = "doc_id", text: str
     second = apart.select(F.explode(F.arrays_zip(F.col("drawn").alias("a"), F.col("top.drawn").alias("b"))).alias("p")).select("p.a", "p.b")
     second = second.distinct().join(first, ["a", "b"], "left_anti").checkpoint()
     links = links.union(verify(second)).checkpoint()
-    links = rest(members.select("key", "node"), links, first.union(second), reps.select("node", "weight"), verify, least)
+    links = rest(members.select("key", "node"), links, first.union(second), reps.select("node", "weight", "keys"), verify, least)
     rooted = reps.select("digest", "node", "id").join(components(links), "node", "left").select("digest", "id", F.coalesce("root", "node").alias("root"))
     # Of equal smallest ids in a class, the one with the smallest digest stays.
     tops = rooted.groupBy("root").agg(F.min(F.struct("id", "digest")).alias("top"))

@@ -66,7 +66,8 @@ def test_each_pair_of_a_bucket_is_compared(spark, monkeypatch):
 
     prepare(spark)
     members = spark.createDataFrame([(7, i) for i in range(120)] + [(8, 3), (8, 119)], "key bigint, node bigint")
-    weight = spark.createDataFrame([(i, 1.0 if i < 119 else 0.5) for i in range(120)], "node bigint, weight double")
+    marks = [(i, 1.0 if i < 119 else 0.5, [1, 2, 3, 4] if i != 118 else [1, 2, 5, 6]) for i in range(120)]
+    marks = spark.createDataFrame(marks, "node bigint, weight double, keys array<bigint>")
     links = spark.createDataFrame([(i, 0) for i in range(1, 40)], "a bigint, b bigint")
     true = {(i, i - 1) for i in range(41, 119, 2)}  # pairs outside the largest component
     for few in (0, 1000):
@@ -77,10 +78,12 @@ def test_each_pair_of_a_bucket_is_compared(spark, monkeypatch):
             seen.extend((r.a, r.b) for r in pairs.collect())
             return pairs.where("a = b + 1 and a > 40 and a % 2 = 1")
 
-        got = N.rest(members, links, links, weight, verify, 0.8).collect()
+        got = N.rest(members, links, links, marks, verify, 0.8).collect()
         assert {(r.a, r.b) for r in got} == true | {(i, 0) for i in range(1, 40)}
         assert len(seen) == len(set(seen))
         assert not any(119 in p for p in seen)  # its weight is too small
+        assert not any(118 in p for p in seen)  # too few of its bands agree
+        assert {(a, b) for a in range(40, 118) for b in range(40, a)} <= set(seen)
 
 
 def test_joins_beyond_the_bound_give_the_same(spark, monkeypatch):
