@@ -1,28 +1,31 @@
 """The spatial join: each point with the polygon that contains it.
 
 ``classify`` keeps every point and adds polygon_id (the smallest that contains
-the point; null if none) and cls.  All strategies give the same rows:
-
-* ``cells``: polygons are gathered by grid cell, points look their cell up and
-  test its few candidates in one projection.  One row in, one row out: points
-  aren't shuffled, exploded or aggregated.
-* ``brute``: a nested-loop join on bounds alone.
-* ``strip``, ``stripe``, ``quadtree``: an equi-join on a cell key with the bounds as
-  residual, then the smallest match for each point.
-* ``replicated``, ``sharded``: the stripe join (by strip within a stripe) with the polygons sent to all tasks,
-  or dealt to the points' stripes by a shuffle.
+the point; null if none) and cls.  Every strategy deals polygons to keys, gathers
+each key's candidates in one row, and lets points look their key up and test the
+candidates in one projection.  One row in, one row out: points aren't exploded
+or aggregated, and not shuffled if the polygons are within ``BROADCAST``.  All
+strategies give the same rows:
+
+* ``cells``: the key is a grid cell of about a polygon's size.
+* ``brute``: one key for all.
+* ``strip``: a strip along y.
+* ``stripe``, ``replicated``, ``sharded``: a strip within a stripe along x; the
+  polygons are sent to all tasks, or (``sharded``) dealt to the points' stripes
+  by a shuffle.
+* ``quadtree``: a cell of the directory of an adaptive quadtree's leaves.
 * ``morton``: ``cells`` over points in Z-order.
 
 Polygons go to all tasks only if their measured size is within ``BROADCAST``;
-beyond that both sides are shuffled by cell and Spark splits skewed cells.
-Points with null or NaN coordinates match nothing.
+beyond that both sides are shuffled by key and Spark splits skewed keys.  If a
+key has more than ``GATHERED`` candidates, points are numbered, joined with the
+candidates row by row, and the first match of each number is taken: the same
+rows, repeated points and all.  Points with null or NaN coordinates match nothing.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass, replace
-from functools import reduce
-from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -94,43 +97,75 @@ def _divisions(side: float, mean: float) -> int:
     return max(1, min(MOST_CELLS, round(side / mean) if mean > 0 else MOST_CELLS))
 
 
+@dataclass(frozen=True)
+class Dealt:
+    """Parts by key: their table, the points' side of each key, and the table's size in bytes."""
+
+    table: DataFrame
+    keys: dict[str, Column]
+    size: int
+    shuffled: bool = False
+
+    def hinted(self, table: DataFrame) -> DataFrame:
+        """The table of polygons with the hint of how it meets the points."""
+        return table.hint("shuffle_hash") if self.shuffled else hinted(table, self.size)
+
+
+def _dealt(parts: DataFrame, e: Extent, strategy: str, n: int | None) -> Dealt:
+    d, x, y = e.domain, F.col("x"), F.col("y")
+    if strategy == "brute":
+        return Dealt(parts.withColumn("_all", F.lit(0)), {"_all": F.lit(0)}, e.bytes)
+    if strategy == "quadtree":
+        table, keys = quadtree.directory(parts, d)
+        return Dealt(table, keys, 4 * e.bytes)
+    if strategy in ("cells", "morton"):
+        nx, ny = _divisions(d.max_x - d.min_x, e.width), _divisions(d.max_y - d.min_y, e.height)
+        table = spread(spread(parts, "_cx", "x", d.min_x, d.max_x, nx), "_cy", "y", d.min_y, d.max_y, ny)
+        return Dealt(table, {"_cx": C.slot(x, d.min_x, d.max_x, nx), "_cy": C.slot(y, d.min_y, d.max_y, ny)}, 4 * e.bytes)
+    strips = (n if strategy == "strip" else None) or _divisions(d.max_y - d.min_y, e.height)
+    table, keys = spread(parts, "_strip", "y", d.min_y, d.max_y, strips), {"_strip": C.strip_of(y, d.min_y, d.max_y, strips)}
+    if strategy != "strip":  # stripes deal the work; strips within them find the candidates
+        keys["_stripe"] = C.stripe_of(x, d.min_x, d.max_x, n or 4)
+        table = spread(table, "_stripe", "x", d.min_x, d.max_x, n or 4)
+    return Dealt(table, keys, 2 * e.bytes, strategy == "sharded")
+
+
 @dataclass(frozen=True)
 class CellIndex:
-    """Polygons by grid cell, made once for many point sets: rows cx, cy, near (candidates in order)."""
+    """Polygons by grid cell, made once for many point sets: rows of keys and near (candidates in order)."""
 
-    extent: Extent
-    nx: int
-    ny: int
+    domain: Domain
+    dealt: Dealt
     boxes: bool
-    size: int
-    table: DataFrame
+    gathered: DataFrame
+
+    def release(self) -> None:
+        """Frees the executors' copy."""
+        self.gathered.unpersist()
 
 
 def cell_index(polygons: DataFrame) -> CellIndex | None:
-    """The index, or None if a cell has more than ``GATHERED`` candidates, where joins by row serve better."""
+    """The index, or None if a cell has more than ``GATHERED`` candidates; ``release`` it when done."""
     parts = prepared(polygons)
-    index = _cell_index(parts, extent(parts))
-    return index and replace(index, table=index.table.persist())
+    e = extent(parts)
+    index = _gathered(_dealt(parts, e, "cells", None), e)
+    return index and replace(index, gathered=index.gathered.persist())
 
 
-def _cell_index(parts: DataFrame, e: Extent) -> CellIndex | None:
-    d = e.domain
-    nx, ny = _divisions(d.max_x - d.min_x, e.width), _divisions(d.max_y - d.min_y, e.height)
-    dealt = spread(spread(parts, "cx", "x", d.min_x, d.max_x, nx), "cy", "y", d.min_y, d.max_y, ny)
-    crowd = dealt.groupBy("cx", "cy").agg(F.count("*").alias("n"), F.every("box").alias("boxes")).agg(F.max("n"), F.sum("n"), F.every("boxes")).first()
+def _gathered(dealt: Dealt, e: Extent) -> CellIndex | None:
+    crowd = dealt.table.groupBy(*dealt.keys).agg(F.count("*").alias("n"), F.every("box").alias("boxes")).agg(F.max("n"), F.sum("n"), F.every("boxes")).first()
     if (crowd[0] or 0) > GATHERED:
         return None
     boxes = bool(crowd[2])
     fields = ("polygon_id", "part_no", "min_x", "min_y", "max_x", "max_y", *(() if boxes else ("box", "outer", "inner")))
-    table = dealt.groupBy("cx", "cy").agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("near"))
-    return CellIndex(e, nx, ny, boxes, int(e.bytes * (crowd[1] or 0) / max(1, e.count)), table)
+    table = dealt.table.groupBy(*dealt.keys).agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("near"))
+    return CellIndex(e.domain, replace(dealt, size=int(e.bytes * (crowd[1] or 0) / max(1, e.count))), boxes, table)
 
 
 def _look_up(points: DataFrame, index: CellIndex, boundary: str) -> DataFrame:
-    """Each point with the first of its cell's candidates that contains it."""
-    d, x, y = index.extent.domain, F.col("x"), F.col("y")
-    keyed = points.withColumns({"cx": C.slot(x, d.min_x, d.max_x, index.nx), "cy": C.slot(y, d.min_y, d.max_y, index.ny)})
-    met = keyed.join(hinted(index.table, index.size), ["cx", "cy"], "left")
+    """Each point with the first of its key's candidates that contains it."""
+    x, y = F.col("x"), F.col("y")
+    met = points.withColumns(index.dealt.keys).join(index.dealt.hinted(index.gathered), list(index.dealt.keys), "left")
     if index.boxes:
         cls = lambda c: G.box_class(c.min_x, c.min_y, c.max_x, c.max_y, x, y, boundary)
         holds = (lambda c: in_bounds(x, y, c)) if boundary == G.INCLUSIVE else (lambda c: in_bounds(x, y, c) & (cls(c) != G.OUTSIDE))
@@ -145,25 +180,15 @@ def _look_up(points: DataFrame, index: CellIndex, boundary: str) -> DataFrame:
 def candidates(points: DataFrame, polygons: DataFrame, strategy: str = "strip", n: int | None = None) -> DataFrame:
     """Rows of points with each part whose key and bounds fit; a point without one has nulls."""
     parts = prepared(polygons)
-    return _candidates(points, parts, extent(parts), strategy, n)
+    return _candidates(points, _dealt(parts, extent(parts), strategy, n))
 
 
-def _candidates(points: DataFrame, parts: DataFrame, e: Extent, strategy: str, n: int | None) -> DataFrame:
-    d, x, y = e.domain, F.col("x"), F.col("y")
-    fits = in_bounds(x, y)
-    if strategy == "brute":
-        return points.join(F.broadcast(parts) if e.bytes <= BROADCAST else parts, fits, "left")
-    if strategy == "quadtree":
-        return quadtree.probe(points, parts, d, fits, lambda t: hinted(t, 8 * e.bytes))
-    strips = (n if strategy == "strip" else None) or _divisions(d.max_y - d.min_y, e.height)
-    left = {"_strip": C.strip_of(y, d.min_y, d.max_y, strips)}
-    right = spread(parts, "strip", "y", d.min_y, d.max_y, strips)
-    if strategy != "strip":  # stripes deal the work; strips within them find the candidates
-        left["_stripe"] = C.stripe_of(x, d.min_x, d.max_x, n or 4)
-        right = spread(right, "stripe", "x", d.min_x, d.max_x, n or 4)
-    right = right.hint("shuffle_hash") if strategy == "sharded" else hinted(right, 2 * e.bytes)
-    same = reduce(and_, (F.col(k) == F.col(k[1:]) for k in left))
-    return points.withColumns(left).join(right, same & fits, "left").drop(*left, *(k[1:] for k in left))
+def _candidates(points: DataFrame, dealt: Dealt) -> DataFrame:
+    right = dealt.hinted(dealt.table.withColumnsRenamed({k: f"{k}_of" for k in dealt.keys}))
+    fits = in_bounds(F.col("x"), F.col("y"))
+    for k in dealt.keys:
+        fits = (F.col(k) == F.col(f"{k}_of")) & fits
+    return points.withColumns(dealt.keys).join(right, fits, "left").drop(*dealt.keys, *(f"{k}_of" for k in dealt.keys))
 
 
 def classify(points: DataFrame, polygons: DataFrame | CellIndex, strategy: str = "cells", boundary: str = G.INCLUSIVE, n: int | None = None) -> DataFrame:
@@ -171,18 +196,17 @@ def classify(points: DataFrame, polygons: DataFrame | CellIndex, strategy: str =
 
     ``polygons`` may be a ``cell_index`` made before, for many point sets.
 
-    Other columns of points are kept, whatever their names.  ``point_id``
-    identifies a point: repeated rows come back once, but ``cells`` and
-    ``morton`` keep each.
+    Each row of points comes back once, repeated or not, with its other columns
+    of any type and name.
     """
     if strategy not in STRATEGIES:
         raise ValueError(f"unknown strategy {strategy!r}; one of {', '.join(STRATEGIES)}")
     kept = [c for c in points.columns if c.lower() not in ("polygon_id", "cls")]
-    own = points.select(*[F.col(f"`{c}`").alias(c if c in ("point_id", "x", "y") else f"_own_{i}") for i, c in enumerate(kept)])
+    own = points.select(*[F.col("`" + c.replace("`", "``") + "`").alias(c if c in ("point_id", "x", "y") else f"_own_{i}") for i, c in enumerate(kept)])
     if isinstance(polygons, CellIndex):
         if strategy not in ("cells", "morton"):
             raise ValueError("an index of cells serves the strategies cells and morton only")
-        out = _look_up(morton_sorted(own, polygons.extent.domain) if strategy == "morton" else own, polygons, boundary)
+        out = _look_up(morton_sorted(own, polygons.domain) if strategy == "morton" else own, polygons, boundary)
     else:
         out = _classify(own, prepared(polygons), strategy, boundary, n)
     return out.toDF(*kept, "polygon_id", "cls")
@@ -190,15 +214,15 @@ def classify(points: DataFrame, polygons: DataFrame | CellIndex, strategy: str =
 
 def _classify(points: DataFrame, parts: DataFrame, strategy: str, boundary: str, n: int | None) -> DataFrame:
     e = extent(parts)
-    if strategy in ("cells", "morton"):
-        if (index := _cell_index(parts, e)) is not None:
-            return _look_up(morton_sorted(points, e.domain) if strategy == "morton" else points, index, boundary)
-        strategy = "strip"
+    dealt = _dealt(parts, e, strategy, n)
+    own = morton_sorted(points, e.domain) if strategy == "morton" else points
+    if (index := _gathered(dealt, e)) is not None:
+        return _look_up(own, index, boundary)
     x, y = F.col("x"), F.col("y")
-    met = _candidates(points, parts, e, strategy, n)
+    met = _candidates(own.withColumn("_row", F.monotonically_increasing_id()), dealt)
     cls = F.when(F.col("polygon_id").isNotNull(), exact(boundary, x, y))
     hit = F.when(cls != G.OUTSIDE, F.struct("polygon_id", "part_no", cls.alias("cls")))
-    best = met.groupBy(*points.columns).agg(F.min(hit).alias("_hit"))
+    best = met.groupBy("_row").agg(F.min(hit).alias("_hit"), *[F.any_value(c).alias(c) for c in points.columns])
     return best.select(*points.columns, F.col("_hit.polygon_id").alias("polygon_id"), F.coalesce("_hit.cls", F.lit(G.OUTSIDE)).alias("cls"))
 
 

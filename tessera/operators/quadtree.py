@@ -3,13 +3,13 @@
 Cells of depth d are squares of a 2**d grid over the padded root.  A cell with
 more than ``leaf`` parts is split until ``depth``; parts go to every child that
 their closed bounds meet.  Leaves without parts are kept, so leaves tile the
-root and each point finds exactly one.
+root and each point finds exactly one.  Points find it through a directory: a
+grid at the leaves' depth (``GRID`` at most), where each cell holds the parts of
+the leaves that cover it or lie in it.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -69,16 +69,18 @@ def leaves(parts: DataFrame, domain: Domain, leaf: int = LEAF, depth: int = DEPT
 
 
 def _distributed(parts: DataFrame, domain: Domain, leaf: int = LEAF, depth: int = DEPTH) -> DataFrame:
-    """The same for any number of parts: one level of cells at a time."""
+    """The same for any number of parts: one level of cells at a time.  Parts are gathered in leaves only."""
     root = root_of(domain)
     held = parts.select("polygon_id", "part_no", "min_x", "min_y", "max_x", "max_y").withColumns({"cx": F.lit(0), "cy": F.lit(0)})
     open_cells = parts.sparkSession.range(1).select(F.lit(0).alias("cx"), F.lit(0).alias("cy"))
+    none = F.array().cast("array<struct<polygon_id:bigint,part_no:int>>")
     out = None
     for d in range(depth + 1):
-        ids = held.groupBy("cx", "cy").agg(F.collect_list(F.struct("polygon_id", "part_no")).alias("ids"))
-        level = open_cells.join(ids, ["cx", "cy"], "left").select(F.lit(d).alias("depth"), "cx", "cy", F.coalesce("ids", F.array().cast("array<struct<polygon_id:bigint,part_no:int>>")).alias("ids"))
-        level = level.withColumn("n", F.size("ids")).persist()
-        done = level if d == depth else level.where(F.col("n") <= leaf)
+        counts = held.groupBy("cx", "cy").agg(F.count("*").alias("n"))
+        level = open_cells.join(counts, ["cx", "cy"], "left").select("cx", "cy", F.coalesce("n", F.lit(0)).alias("n")).persist()
+        small = level if d == depth else level.where(F.col("n") <= leaf)
+        ids = held.join(small.select("cx", "cy"), ["cx", "cy"]).groupBy("cx", "cy").agg(F.collect_list(F.struct("polygon_id", "part_no")).alias("ids"))
+        done = small.join(ids, ["cx", "cy"], "left").select(F.lit(d).alias("depth"), "cx", "cy", F.col("n").cast("int").alias("n"), F.coalesce("ids", none).alias("ids"))
         out = done if out is None else out.unionByName(done)
         crowded = level.where(F.col("n") > leaf).select("cx", "cy")
         if d == depth or not crowded.limit(1).count():
@@ -91,14 +93,22 @@ def _distributed(parts: DataFrame, domain: Domain, leaf: int = LEAF, depth: int
     return out
 
 
-def probe(points: DataFrame, parts: DataFrame, domain: Domain, fits: Column, hint: Callable[[DataFrame], DataFrame], leaf: int = LEAF, depth: int = DEPTH) -> DataFrame:
-    """Candidates of each point from its leaf, by a join on depth and cell; points without one have nulls."""
-    root, tree = root_of(domain), leaves(parts, domain, leaf, depth)
-    depths = [r[0] for r in tree.where("n > 0").select("depth").distinct().collect()]
-    entries = tree.where("n > 0").select("depth", "cx", "cy", F.explode("ids").alias("_id"))
-    keyed = entries.join(parts, (F.col("_id.polygon_id") == parts.polygon_id) & (F.col("_id.part_no") == parts.part_no)).select("depth", "cx", "cy", *parts.columns)
-    cell = lambda d: F.struct(F.lit(d).alias("depth"), C.slot(F.col("x"), root.min_x, root.max_x, 1 << d).alias("cx"), C.slot(F.col("y"), root.min_y, root.max_y, 1 << d).alias("cy"))
-    paths = points.withColumn("_cell", F.explode(F.array(*map(cell, sorted(depths)))) if depths else F.lit(None).cast("struct<depth:int,cx:int,cy:int>"))
-    own = paths.select(*points.columns, F.col("_cell.depth").alias("_depth"), F.col("_cell.cx").alias("_cx"), F.col("_cell.cy").alias("_cy"))
-    # A point's path has one cell for each depth; only its leaf's can meet a row, the others stay null and lose in the minimum.
-    return own.join(hint(keyed), (F.col("_depth") == F.col("depth")) & (F.col("_cx") == F.col("cx")) & (F.col("_cy") == F.col("cy")) & fits, "left").drop("_depth", "_cx", "_cy", "depth", "cx", "cy")
+#: Depth of the directory's grid at most.
+GRID = 8
+
+
+def directory(parts: DataFrame, domain: Domain, leaf: int = LEAF, depth: int = DEPTH) -> tuple[DataFrame, dict[str, Column]]:
+    """Parts by cell of the directory (_cx, _cy), each once, and a point's cell."""
+    root = root_of(domain)
+    tree = leaves(parts, domain, leaf, depth).where("n > 0")
+    deepest = min(GRID, tree.agg(F.coalesce(F.max("depth"), F.lit(0))).first()[0])
+    up = F.greatest(F.lit(deepest) - F.col("depth"), F.lit(0))  # levels from a leaf down to the grid
+    down = F.greatest(F.col("depth") - F.lit(deepest), F.lit(0))  # or from the grid down to a leaf
+    first = {a: F.expr(f"shiftright(shiftleft({a}, up), down)") for a in ("cx", "cy")}
+    sized = tree.withColumns({"up": up, "down": down})
+    cells = sized.select("ids", *[F.sequence(c, c + F.expr("shiftleft(1, up) - 1")).alias(f"{a}s") for a, c in first.items()])
+    cells = cells.select("ids", F.explode("cxs").alias("_cx"), "cys").select("ids", "_cx", F.explode("cys").alias("_cy"))
+    entries = cells.select("_cx", "_cy", F.explode("ids").alias("_id")).select("_cx", "_cy", "_id.polygon_id", "_id.part_no").distinct()
+    n = 1 << deepest
+    keys = {"_cx": C.slot(F.col("x"), root.min_x, root.max_x, n), "_cy": C.slot(F.col("y"), root.min_y, root.max_y, n)}
+    return entries.join(parts, ["polygon_id", "part_no"]).select("_cx", "_cy", *parts.columns), keys

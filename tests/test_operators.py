@@ -40,7 +40,7 @@ def test_quadtree_builds_alike_on_driver_and_cluster(spark, monkeypatch):
 
 @pytest.mark.parametrize(("leaf", "depth"), [(1, 3), (7, 8), (100, 0)])
 def test_quadtree_parameters_do_not_change_results(spark, leaf, depth, monkeypatch):
-    monkeypatch.setattr(quadtree.probe, "__defaults__", (leaf, depth))
+    monkeypatch.setattr(quadtree.directory, "__defaults__", (leaf, depth))
     points, grid = generate.uniform(spark, 300), generate.grid(spark, 10, 10)
     assert verify.differences(join.classify(points, grid, "quadtree"), join.classify(points, grid, "brute")).count() == 0
 
@@ -126,6 +126,27 @@ def test_partitioned_sink(spark, tmp_path):
     assert one.count() == points.where("x >= 50 and x < 75").count()
 
 
+@pytest.mark.parametrize("strategy", join.STRATEGIES)
+@pytest.mark.parametrize("gathered", [1024, 0])
+def test_each_row_of_points_comes_back_once(spark, monkeypatch, strategy, gathered):
+    """Repeated rows and columns that can't be grouped by, at any crowding."""
+    monkeypatch.setattr(join, "GATHERED", gathered)
+    rows = [(1, 8.0, 8.0, {"a": 1}), (1, 8.0, 8.0, {"a": 1}), (1, 8.0, 8.0, {"a": 1}), (2, 99.0, 99.0, None), (3, None, 4.0, {"b": 2})]
+    points = spark.createDataFrame(rows, POINTS + ", `x.y z` map<string,int>")
+    out = join.classify(points, fixtures.shapes(spark), strategy)
+    assert out.columns == [*points.columns, "polygon_id", "cls"]
+    got = sorted(((r[0], r[4], r[3]) for r in out.collect()), key=str)
+    assert got == [(1, 1, {"a": 1})] * 3 + [(2, None, None), (3, None, {"b": 2})]
+
+
+def test_crowding_changes_no_row(spark, monkeypatch):
+    """1,000 and 1,100 polygons over the same place, on both sides of the bound."""
+    points = spark.createDataFrame([(1, 5.0, 5.0), (1, 5.0, 5.0), (2, 50.0, 50.0)], POINTS)
+    for n in (1000, 1100):
+        rows = polygons(spark, [(i, 0, [(0, 0), (10, 0), (10, 10), (0, 10)], []) for i in range(n)])
+        assert sorted((r.point_id, r.polygon_id, r.cls) for r in join.classify(points, rows).collect()) == [(1, 0, "INSIDE"), (1, 0, "INSIDE"), (2, None, "OUTSIDE")]
+
+
 def test_repeated_points_and_extra_columns(spark):
     points = spark.createDataFrame([(1, 8.0, 8.0, "a"), (1, 8.0, 8.0, "a"), (2, 99.0, 99.0, "b")], POINTS + ", near string")
     rows = join.classify(points, fixtures.shapes(spark)).collect()
