@@ -34,6 +34,9 @@ from .common import SLICE_CHARS, plain, slices, tidy
 
 #: Punctuation that stands behind words.
 _ENDING = ".,;:!?%&$*#"
+#: What plain words don't hold: characters that may combine or be taken apart, one capital whose lower case is
+#: a letter and a mark, and the start of a special token.
+_OTHER = "[^\\x00-\\x{24F}]|\\x{130}|<\\|"
 #: Words that a worker remembers; beyond that it starts anew.
 MEMO = 300_000
 
@@ -89,11 +92,12 @@ def windows(sizes: list[int], capacity: int) -> list[list[int]]:
 class WordIds:
     """Ids of texts as bytes, by a tokenizer that drops white space and case.
 
-    What stands between spaces and line ends is a word; punctuation behind its
-    last letter or digit makes a token of its own there, so words are put
-    together from remembered cores and endings.  New cores of Latin letters,
-    which are one pretoken each, are encoded many at a time and parted at the
-    tokens that end a word.
+    What stands between spaces and line ends is a word; in a plain word, whose
+    characters normalise one by one, punctuation behind the last letter
+    or digit makes a token of its own, so such words are put together from
+    remembered cores and endings.  All other words are encoded whole, as they
+    are.  New cores of letters, which are one pretoken each, are encoded many at
+    a time and parted at the tokens that end a word.
     """
 
     def __init__(self, path: str):
@@ -111,7 +115,7 @@ class WordIds:
 
     def _learn(self, words: set[str]) -> None:
         """Adds new cores and endings."""
-        letters = [w for w in words if w.isalpha() and max(w) < "\u0250"]
+        letters = [w for w in words if w.isalpha() and max(w) < "\u0250" and "\u0130" not in w]
         rest = list(words.difference(letters))
         groups = [letters[i : i + 256] for i in range(0, len(letters), 256)]
         for group, e in zip(groups, self.tokenizer.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False), strict=True):
@@ -141,10 +145,10 @@ class WordIds:
         coded = lists.flatten().dictionary_encode()
         word, which = coded.dictionary, np.asarray(coded.indices)
         core, ending = pc.utf8_rtrim(word, _ENDING), pc.struct_field(pc.extract_regex(word, "(?P<e>[" + _ENDING + "]*)$"), "e")
-        apart = pc.and_(pc.match_substring_regex(core, r"[\p{L}\p{N}]$"), pc.invert(pc.match_substring(word, "<|")))
+        is_plain = pc.invert(pc.match_substring_regex(word, _OTHER))
+        apart = pc.and_(is_plain, pc.match_substring_regex(core, r"[\p{L}\p{N}]$"))
         core, ending = pc.if_else(apart, core, word), pc.if_else(apart, ending, "")
-        # A special token's string has a case of its own; one capital's lower case is two characters.
-        core = pc.if_else(pc.match_substring_regex(word, "<\\||\u0130"), core, pc.utf8_lower(core))
+        core = pc.if_else(is_plain, pc.utf8_lower(core), core)
         if len(self.known) > MEMO:
             self.known = {"": b""}
         core, ending = core.dictionary_encode(), ending.dictionary_encode()
