@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import hashing as H
-from .common import fold, plain, replace_column, slices, tidy
+from .common import fold, named, plain, replace_column, slices, tidy
 
 SCALE = 20.0
 
@@ -118,10 +118,11 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, keep: Column
     """Texts and labels of at most ``sample`` labelled rows that ``keep`` admits.
 
     The key's smallest hashes are taken, so the sample doesn't hang on the
-    order of rows.  Of several labels of a key the largest counts.
+    order of rows.  Of several labels of a key the largest counts, of several
+    texts the smallest.
     """
     chosen = (
-        labels.select(F.col(key).alias("_key"), F.col(label).cast("int").alias("_label"))
+        labels.select(named(key).alias("_key"), named(label).cast("int").alias("_label"))
         .where(F.col("_key").isNotNull() & F.col("_label").isin(0, 1))
         .where(keep)
         .groupBy("_key")
@@ -129,7 +130,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, keep: Column
         .orderBy(F.xxhash64("_key"), "_key")
         .limit(sample)
     )
-    return docs.select(F.col(key).alias("_key"), F.col(text).alias("_text")).join(F.broadcast(chosen), "_key")
+    found = docs.select(named(key).alias("_key"), named(text).alias("_text")).join(F.broadcast(chosen), "_key")
+    return found.groupBy("_key", "_label").agg(F.min("_text").alias("_text"))
 
 
 def fit(docs: DataFrame, labels: DataFrame, keep: Column | None = None, label: str = "quality", key: str = "doc_id", text: str = "text", sample: int = 6000, bits: int = 20) -> Linear:
@@ -160,7 +162,7 @@ def score(docs: DataFrame, model: Linear, text: str = "text", output: str = "sco
     def quality(t: pa.Array) -> pa.Array:
         return pa.array(predict(model, plain(t)))
 
-    return replace_column(docs, output, quality(F.col(text)))
+    return replace_column(docs, output, quality(named(text)))
 
 
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, folds: int = 5, key: str = "doc_id", text: str = "text", **options) -> DataFrame:

@@ -3,13 +3,17 @@
 Features are the distinct lower-cased words of a text and their first 4, 5 and
 7 bytes, as 32-bit hashes.  Training takes at most ``sample`` labelled rows,
 selects the ``most`` features that speak for label 1 best (chi-squared of at
-least ``floor``, at least ``least`` rows), and minimises, over weights of 0 and more,
+least ``floor``, at least ``least`` rows) and those of the terms below, and minimises, over weights of 0 and more,
 
     mean logistic loss + l2 |w|^2 + cf mean over swaps (w . (f(s) - f(s')))^2
 
 where s is a labelled sentence with an identity term and s' the same sentence
 with another term of the same kind.  The last term drives the weights of the
-identity terms together, so a neutral mention of a group adds nothing.  As no weight is
+identity terms together, so a neutral mention of a group adds nothing.  Terms are
+those of ``IDENTITY``, and the words that at least ``COMMON`` of the rows of either
+label hold: what both kinds of text mention as a matter of course is no more a
+reason to call one toxic than a group's name, and invented languages have no
+other terms.  At most ``swapped`` sentences of a row are used.  As no weight is
 negative, harmless text can't hide a toxic sentence, however long it is.
 
 Defined results: null and empty texts score the bias; repeated rows score
@@ -21,6 +25,7 @@ rows.  Output columns replace input columns of the same name.
 from __future__ import annotations
 
 import re
+import zlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -29,12 +34,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import hashing as H
-from .common import fold, plain, replace_column, slices, tidy
+from .common import fold, named, plain, replace_column, slices, tidy
 from .quality import labelled_sample
 
 PREFIXES = (4, 5, 7)
+#: Chi-squared that a feature has at least.
+FLOOR = 15.0
 
-#: Identity terms by kind; a term is swapped for the others of its kind.  Parameter of ``fit``.
+#: Identity terms by kind; a term is swapped for the next of its kind.  Parameter of ``fit``.
 IDENTITY = (
     ("women", "men", "girls", "boys"),
     ("woman", "man", "girl", "boy"),
@@ -44,7 +51,18 @@ IDENTITY = (
     ("gay", "lesbian", "straight", "bisexual", "transgender"),
     ("immigrants", "refugees", "foreigners", "citizens"),
     ("disabled", "deaf", "blind", "elderly", "young"),
+    ("frauen", "männer", "mädchen", "jungen"),
+    ("muslime", "christen", "juden", "hindus", "atheisten"),
+    ("ausländer", "flüchtlinge", "einwanderer", "bürger"),
+    ("femmes", "hommes", "filles", "garçons"),
+    ("musulmans", "chrétiens", "juifs", "hindous", "athées"),
+    ("étrangers", "réfugiés", "immigrés", "citoyens"),
+    ("mujeres", "hombres", "niñas", "niños"),
+    ("musulmanes", "cristianos", "judíos", "hindúes", "ateos"),
+    ("extranjeros", "refugiados", "inmigrantes", "ciudadanos"),
 )
+#: Share of the rows of either label from which on a word is a term, how many such words there are at most, and of a kind.
+COMMON, FOUND, KIND = 0.02, 256, 8
 
 
 @dataclass(frozen=True)
@@ -68,21 +86,32 @@ def distinct(texts: pa.Array) -> list[np.ndarray]:
     return out
 
 
-def swaps(text: str, kinds: tuple[tuple[str, ...], ...]) -> list[tuple[str, str]]:
-    """Sentences with an identity term, each with the same sentence with its neighbour in the kind's ring."""
-    ring = {t: k[(i + 1) % len(k)] for k in kinds for i, t in enumerate(k)}
-    term = re.compile(r"\b(?:" + "|".join(sorted(map(re.escape, ring), key=len, reverse=True)) + r")\b", re.IGNORECASE)
-    if not term.search(text):
-        return []
-    out = []
-    for sentence in re.split(r"[.!?\n]+", text):
-        other = term.sub(lambda m: ring[m[0].lower()], sentence)
-        if other != sentence:
-            out.append((sentence, other))
-    return out
+_WORDS = re.compile(r"\w+")
+
+
+def swaps(text: str, kinds: tuple[tuple[str, ...], ...], most: int) -> list[tuple[str, str]]:
+    """At most so many distinct sentences with a term (smallest hashes first), each with the same sentence with the next terms of the kinds."""
+    ring = {t: k[(i + 1) % len(k)] for k in kinds if len(k) > 1 for i, t in enumerate(k)}
+    some = {s for s in re.split(r"[.!?\n]+", text) if not ring.keys().isdisjoint(_WORDS.findall(s.lower()))}
+    chosen = sorted(some, key=lambda s: (zlib.crc32(s.encode("utf-8", "surrogatepass")), s))[:most]
+    return [(s, _WORDS.sub(lambda m: ring.get(m[0].lower(), m[0]), s)) for s in chosen]
+
+
+def common_kinds(rows: DataFrame, share: float = COMMON) -> tuple[tuple[str, ...], ...]:
+    """Words that at least this share of the rows of either label hold, by kinds of like frequency; rows of ``labelled_sample``."""
+    words = F.array_distinct(F.regexp_extract_all(F.lower("_text"), F.lit(r"([\p{L}\p{N}_]+)"), F.lit(1)))
+    total = {r["_label"]: r["n"] for r in rows.groupBy("_label").agg(F.count("*").alias("n")).collect()}
+    if len(total) < 2:
+        return ()
+    ones = F.count_if(F.col("_label") == 1)
+    counts = rows.select("_label", F.explode(words).alias("word")).groupBy("word").agg(ones.alias("ones"), (F.count("*") - ones).alias("zeros"))
+    # Terms of two words at least say something even in a small sample.
+    often = counts.where((F.col("ones") >= max(2.0, share * total[1])) & (F.col("zeros") >= max(2.0, share * total[0])))
+    found = [r.word for r in often.orderBy(F.desc("zeros"), "word").limit(FOUND).collect()]
+    return tuple(tuple(found[i : i + KIND]) for i in range(0, len(found), KIND))
 
 
-def train(rows: list[np.ndarray], y: np.ndarray, pairs: list[tuple[np.ndarray, np.ndarray]], most: int = 4096, least: int = 3, floor: float = 15.0, l2: float = 1e-4, cf: float = 10.0, rounds: int = 600) -> Model:
+def train(rows: list[np.ndarray], y: np.ndarray, pairs: list[tuple[np.ndarray, np.ndarray]], most: int = 4096, least: int = 3, floor: float = FLOOR, l2: float = 1e-4, cf: float = 10.0, rounds: int = 600) -> Model:
     """Full-batch Adam on the selected features."""
     n, ones = len(rows), int(y.sum())
     none = np.empty(0, np.uint32)
@@ -96,8 +125,10 @@ def train(rows: list[np.ndarray], y: np.ndarray, pairs: list[tuple[np.ndarray, n
     expected = total * ones / n
     chi = (hits - expected) ** 2 / (expected * (1 - ones / n) * (1 - total / (n + 1)))
     chi[(total < min(least, ones)) | (hits < expected)] = 0
-    chosen = np.sort(np.argsort(-chi, kind="stable")[: min(most, int((chi > floor).sum()))])
-    feature = feature[chosen]
+    chosen = np.argsort(-chi, kind="stable")[: min(most, int((chi > floor).sum()))]
+    # What tells terms apart is always weighed, so that the swaps have a say in it.
+    terms = np.unique(np.concatenate([none, *(np.setxor1d(a, b) for a, b in pairs)]))
+    feature = np.union1d(feature[chosen], np.intersect1d(feature, terms))
     k = len(feature)
 
     def located(f: np.ndarray) -> np.ndarray:
@@ -148,9 +179,11 @@ def predict(model: Model, texts: pa.Array) -> np.ndarray:
     return out
 
 
-def fit(docs: DataFrame, labels: DataFrame, keep: Column | None = None, label: str = "toxic", key: str = "doc_id", text: str = "text", sample: int = 12000, kinds: tuple[tuple[str, ...], ...] = IDENTITY) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, keep: Column | None = None, label: str = "toxic", key: str = "doc_id", text: str = "text", sample: int = 12000, kinds: tuple[tuple[str, ...], ...] = IDENTITY, swapped: int = 2, **training) -> Model:
     """Learns from labelled documents; ``keep`` is a condition on ``_key`` and ``_label``."""
     rows = labelled_sample(docs, labels, label, F.lit(True) if keep is None else keep, sample, key, text)
+    terms = {t for k in kinds for t in k}
+    kinds = (*kinds, *(tuple(t for t in k if t not in terms) for k in common_kinds(rows)))
 
     def vectors(batches):
         raw = lambda xs: pa.array([x.tobytes() for x in xs], pa.binary())
@@ -159,7 +192,7 @@ def fit(docs: DataFrame, labels: DataFrame, keep: Column | None = None, label: s
             found = distinct(texts)
             tidy()
             yield pa.RecordBatch.from_arrays([batch.column("_key"), batch.column("_label"), raw(found), pa.array([None] * len(found), pa.binary())], names=["key", "label", "a", "b"])
-            both = [(k, s, o) for k, t in zip(batch.column("_key").to_pylist(), texts.to_pylist(), strict=True) for s, o in swaps(t, kinds)]
+            both = [(k, s, o) for k, t in zip(batch.column("_key").to_pylist(), texts.to_pylist(), strict=True) for s, o in swaps(t, kinds, swapped)]
             if both:
                 a, b = distinct(plain(pa.array([x[1] for x in both]))), distinct(plain(pa.array([x[2] for x in both])))
                 yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in both], pa.string()), pa.array([None] * len(both), pa.int32()), raw(a), raw(b)], names=["key", "label", "a", "b"])
@@ -168,7 +201,7 @@ def fit(docs: DataFrame, labels: DataFrame, keep: Column | None = None, label: s
     of = lambda x: np.frombuffer(x, np.uint32)
     found = list(zip(got["label"].to_pylist(), got["a"].to_pylist(), got["b"].to_pylist(), strict=True))
     y = np.array([x[0] for x in found if x[0] is not None], dtype=np.float64)
-    model = train([of(x[1]) for x in found if x[0] is not None], y, [(of(x[1]), of(x[2])) for x in found if x[0] is None])
+    model = train([of(x[1]) for x in found if x[0] is not None], y, [(of(x[1]), of(x[2])) for x in found if x[0] is None], **training)
     del got, found
     tidy()
     return model
@@ -181,7 +214,7 @@ def score(docs: DataFrame, model: Model, text: str = "text", output: str = "scor
     def toxicity(t: pa.Array) -> pa.Array:
         return pa.array(predict(model, plain(t)))
 
-    return replace_column(docs, output, toxicity(F.col(text)))
+    return replace_column(docs, output, toxicity(named(text)))
 
 
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, folds: int = 3, held: int = 1, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
