@@ -27,7 +27,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import plain, replace_column, slices, tidy
+from .common import fresh, named, plain, replace_column, slices, tidy
 
 LONG = 512
 #: Pretokens that a worker remembers; beyond that it starts anew.
@@ -268,7 +268,8 @@ def round_trip(docs: DataFrame, path: str, pattern: str, text: str = "text") ->
         tidy()
         return pa.StructArray.from_arrays([pa.array(n, pa.int64()), pa.array(a_hex, pa.string()), pa.array(b_hex, pa.string())], names=["n", "ids", "decoded"])
 
-    out = replace_column(docs, "_bpe", digests(F.col(text)))
+    own = fresh("_bpe", docs)
+    out = replace_column(docs, own, digests(named(text)))
     for name, part in (("n_tokens", "n"), ("ids_sha256", "ids"), ("decoded_sha256", "decoded")):
-        out = replace_column(out, name, F.col(f"_bpe.{part}"))
-    return out.drop("_bpe")
+        out = replace_column(out, name, F.col(f"{own}.{part}"))
+    return out.drop(own)

@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import plain, replace_column, slices
+from .common import fresh, named, plain, replace_column, slices
 from .urls import host_of
 
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>", re.DOTALL)
@@ -341,7 +341,7 @@ def templates(pages: DataFrame, support: float = 0.5, url: str = "url", html: st
                 names = [_hash(*(x.text for x in inside(p[0]))) for p in parsed]
                 yield pa.RecordBatch.from_arrays([hosts.slice(a, b - a).cast(pa.string()), pa.array(names, pa.int64()), pa.array(found, pa.list_(pa.int64()))], names=["host", "page", "tokens"])
 
-    seen = pages.select(F.coalesce(host_of(F.col(url)), F.lit("")).alias("host"), F.col(html).alias("html"))
+    seen = pages.select(F.coalesce(host_of(named(url)), F.lit("")).alias("host"), named(html).alias("html"))
     # Pages of a host with the same own text are one page, else an article with many copies would be its host's template.
     each = seen.mapInArrow(occurrences, "host string, page bigint, tokens array<bigint>").groupBy("host", "page").agg(F.min("tokens").alias("tokens")).checkpoint()
     total = each.groupBy("host").agg(F.count("*").alias("of"))
@@ -391,9 +391,10 @@ def extract(pages: DataFrame, support: float = 0.5, url: str = "url", html: str
     """Adds the article's text to each page."""
     made = templates(pages, support, url, html).checkpoint()
     size = made.agg(F.sum(F.size("template") * 8 + F.length("host") + 64)).first()[0] or 0
-    made = made.withColumnsRenamed({"host": "_host", "template": "_template"})
-    left = replace_column(pages, "_host", F.coalesce(host_of(F.col(url)), F.lit("")))
-    joined = left.join(F.broadcast(made) if size <= BROADCAST else made, "_host", "left")
+    own_host, own_template = fresh("_host", pages), fresh("_template", pages)
+    made = made.withColumnsRenamed({"host": own_host, "template": own_template})
+    left = replace_column(pages, own_host, F.coalesce(host_of(named(url)), F.lit("")))
+    joined = left.join(F.broadcast(made) if size <= BROADCAST else made, own_host, "left")
 
     @F.arrow_udf("string")
     def text(h: pa.Array, host: pa.Array, template: pa.Array) -> pa.Array:
@@ -405,4 +406,4 @@ def extract(pages: DataFrame, support: float = 0.5, url: str = "url", html: str
             out.append(article(parse(page)[0], known[own]))
         return pa.array(out, pa.string())
 
-    return replace_column(joined, output, text(F.col(html), F.col("_host"), F.col("_template"))).drop("_host", "_template")
+    return replace_column(joined, output, text(named(html), F.col(own_host), F.col(own_template))).drop(own_host, own_template)

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import replace_column
+from .common import fresh, named, replace_column
 
 TOP = chr(0x10FFFF)
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -134,7 +134,7 @@ def filter_urls(pages: DataFrame, rules: list[tuple[str, str, str]] | DataFrame,
     """
     rows = [tuple(r) for r in rules.select("host", "path", "verdict").toLocalIterator()] if isinstance(rules, DataFrame) else rules
     parts = blocks(hosts(rows), block)
-    out = replace_column(replace_column(pages, "host", host_of(F.col(url))), "path", path_of(F.col(url)))
+    out = replace_column(replace_column(pages, "host", host_of(named(url))), "path", path_of(named(url)))
     if len(parts) == 1:
         own = parts[0]
 
@@ -142,9 +142,10 @@ def filter_urls(pages: DataFrame, rules: list[tuple[str, str, str]] | DataFrame,
         def judge(host: pa.Array, path: pa.Array) -> pa.Array:
             return _judge(own, host, path, default)
 
-        out = replace_column(out, "_judged", judge("host", "path"))
-        out = replace_column(out, "rule", F.col("_judged.rule"))
-        return replace_column(out, "verdict", F.col("_judged.verdict")).drop("_judged")
+        both = fresh("_judged", out)
+        out = replace_column(out, both, judge("host", "path"))
+        out = replace_column(out, "rule", F.col(f"{both}.rule"))
+        return replace_column(out, "verdict", F.col(f"{both}.verdict")).drop(both)
     return _by_block(out, parts, default, salts)
 
 
@@ -158,16 +159,21 @@ def _by_block(urls: DataFrame, parts: list[list[Host]], default: str, salts: int
         return pa.array([max(0, bisect_right(firsts, canonical(h or "")) - 1) for h in host.to_pylist()], pa.int32())
 
     wanted = [c for c in urls.columns if c.lower() not in ("rule", "verdict")]
-    left = urls.select(*wanted).withColumn("_block", number("host")).withColumn("_salt", F.pmod(F.xxhash64(*[F.col(c) for c, t in urls.select(*wanted).dtypes if not t.startswith(("map", "variant"))]), F.lit(salts)).cast("int"))
+    left = urls.select(*map(named, wanted))
+    block, salt = fresh("_block", left), fresh("_salt", left)
+    told = [named(c) for c, t in left.dtypes if not t.startswith(("map", "variant"))]
+    kinds = ", ".join("`" + c.replace("`", "``") + f"` {t}" for c, t in left.dtypes)
+    # Rows that are equal in all columns are dealt by their place, too.
+    left = left.withColumn(block, number("host")).withColumn(salt, F.pmod(F.xxhash64(*told, F.spark_partition_id()), F.lit(salts)).cast("int"))
     stored = spark.sparkContext.broadcast  # only a block's rules are sent, with the task that wants them
     shared = [stored(p) for p in parts]
 
     def judge(batches):
         for batch in batches:
-            number_of = np.asarray(batch.column("_block"))
+            number_of = np.asarray(batch.column(block))
             order = pa.array(np.argsort(number_of, kind="stable"))
             batch = batch.take(order)
-            number_of = np.asarray(batch.column("_block"))
+            number_of = np.asarray(batch.column(block))
             cut = [0, *(np.flatnonzero(np.diff(number_of)) + 1).tolist(), len(number_of)]
             for a, b in zip(cut, cut[1:], strict=False):
                 if b > a:
@@ -175,5 +181,5 @@ def _by_block(urls: DataFrame, parts: list[list[Host]], default: str, salts: int
                     judged = _judge(shared[int(number_of[a])].value, part.column("host"), part.column("path"), default)
                     yield pa.RecordBatch.from_arrays([*(part.column(c) for c in wanted), *judged.flatten()], names=[*wanted, "rule", "verdict"])
 
-    schema = ", ".join(f"`{c}` {t}" for c, t in left.select(*wanted).dtypes) + ", rule string, verdict string"
-    return left.repartition("_block", "_salt").sortWithinPartitions("_block", "host", "path").mapInArrow(judge, schema)
+    schema = kinds + ", rule string, verdict string"
+    return left.repartition(block, salt).sortWithinPartitions(block, "host", "path").mapInArrow(judge, schema)

@@ -66,3 +66,10 @@ def test_round_trip_of_arrays(spark):
     out = bpe.decode(bpe.encode(rows, PATH, PATTERN), PATH).collect()
     assert all(bytes(r.decoded) == (r.text or "").encode() for r in out)
     assert bpe.encode(rows.limit(0), PATH, PATTERN).count() == 0
+
+
+def test_columns_of_any_name_are_kept(spark):
+    docs = spark.createDataFrame([("ab cd", 1, 2, 3)], "`the text` string, _bpe int, N_TOKENS int, ids_sha256 int")
+    out = bpe.round_trip(docs, PATH, PATTERN, text="the text")
+    assert [(r._bpe, r.n_tokens) for r in out.collect()] == [(1, 2)]
+    assert sorted(c.lower() for c in out.columns) == ["_bpe", "decoded_sha256", "ids_sha256", "n_tokens", "the text"]

@@ -1,4 +1,5 @@
 import html as entities
+import random
 import re
 
 from tessera.llm import html
@@ -79,6 +80,50 @@ def test_only_ordered_and_nested_classes_are_the_template(spark):
     assert told == {7: (True, 1), 8: (True, html._hash(7, 1))}
 
 
+def made_page(r, i):
+    """A page without an article element, with its slots' text: fixed parts around slots of one to five blocks, and rows that some pages lack."""
+    slots = [[f"Slot {i} {k} {j} {r.randrange(10**6)}" for j in range(r.randint(1, 5))] for k in range(2)]
+    rows = "".join(f"<div class='row{k}'><i>Note {k}</i></div>" for k in "abc" if r.random() < 0.8)
+    page = "<div id='top'><span>Site</span><ul><li>Home</li><li>About it</li></ul></div><div id='main'><div class='one'>{}</div><div class='rule'>Go on</div><div class='two'>{}</div></div><div id='low'>{}<em>The end of it</em></div>"
+    return "<body>" + page.format(*("".join(f"<p>{t}</p>" for t in s) for s in slots), rows) + "</body>", " ".join(t for s in slots for t in s)
+
+
+def brute_template(pages):
+    """Tokens of the classes of two or more that half of the pages hold: exact vectors, each class's tokens in one turn."""
+    found = [html.tokens(*html.parse(p)) for p in pages]
+    by_vector = {}
+    for t in {t for own in found for t in own}:
+        by_vector.setdefault(tuple(own.count(t) for own in found), set()).add(t)
+    out = set()
+    for vector, own in by_vector.items():
+        held = sum(n > 0 for n in vector)
+        if len(own) > 1 and held > 1 and 2 * held >= len(found):
+            turns = {tuple(t for t in page if t in own) for page in found} - {()}
+            first = min(turns, key=len)[: len(own)]
+            if all(t == first * (len(t) // len(first)) for t in turns):
+                out |= own
+    return out
+
+
+def test_template_and_slots_against_exact_vectors(spark):
+    """Without its template, a page's text would hold the fixed parts, too."""
+    r = random.Random(12)
+    made = [made_page(r, i) for i in range(20)]
+    pages = [("http://a.org/" + str(i), p) for i, (p, _) in enumerate(made)]
+    template = {t for row in html.templates(spark.createDataFrame(pages, "url string, html string")).collect() for t in row.template}
+    assert template == brute_template([p for p, _ in made])
+    got = extracted(spark, pages)
+    assert got == [want for _, want in made]
+    bare = [html.article(html.parse(p)[0], frozenset()) for p, _ in made]
+    assert all("About it" in b and b != g for b, g in zip(bare, got, strict=True))
+
+
+def test_columns_of_any_name_are_kept(spark):
+    df = spark.createDataFrame([("http://a/1", "<p>x</p>", 1, 2, 3)], "`the url` string, `a``b` string, _host int, _template int, text int")
+    out = html.extract(df, url="the url", html="a`b")
+    assert [tuple(r) for r in out.select("_host", "_template", "text").collect()] == [(1, 2, "x")]
+
+
 def test_copies_keep_their_text(spark):
     page = '<nav><a>Menu {0}</a></nav><article class="post"><div>Whole text</div></article>'
     assert extracted(spark, [("http://a.org/1", page.format(0))] * 2) == ["Whole text"] * 2

@@ -1,5 +1,7 @@
 import hashlib
 import random
+
+import numpy as np
 import re
 
 from tessera.llm import pii
@@ -67,6 +69,33 @@ def test_numbers_of_many_groups_are_proposed():
     assert max(len(text[a:e]) for a, _, e in pii.candidates(text)) == 2 * 19 - 1
 
 
+def brute_added(text):
+    """Proposals one by one, best first, against all spans taken so far."""
+    model, taken = pii.train(), list(pii.base_spans(text))
+    meets = lambda a, b: a[0] < b[2] and b[0] < a[2]
+    scored = []
+    for c in pii.candidates(text):
+        if not any(meets(c, b) for b in taken):
+            score = round(float(model.score(np.array([pii.features(text, c)]))[0]), 9)
+            if score >= model.thresholds[c[1]]:
+                scored.append((-score, c[0] - c[2], c))
+    out = []
+    for *_, c in sorted(scored):
+        if not any(meets(c, b) for b in taken):
+            taken.append(c)
+            out.append(c)
+    return sorted(out)
+
+
+def test_added_spans_against_proposals_one_by_one(spark):
+    r = random.Random(31)
+    texts = [" ".join(pii.sentence(r)[0] for _ in range(3)) for _ in range(150)]
+    texts += [x.text for x in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()][:60]
+    got = pii._spans(pii.train(), texts)
+    assert [[s for s, base in own if not base] for own in got] == [brute_added(t) for t in texts]
+    assert sum(not base for own in got for _, base in own) > 100
+
+
 def test_look_alikes_stay():
     texts = ['token = "1beb58b8af68854f0e01b4ad40cdbb6ae7f8b7d1"', "password=b7db7aa4a5fcc78305", "version 1.22.3.444", "order 12345678", "2024-01-02 10 1234 123", "plain words only"]
     assert pii._spans(pii.train(), texts) == [[]] * len(texts)

@@ -54,3 +54,11 @@ def test_no_rules_and_no_rows(spark):
 def test_rules_as_a_table(spark):
     rules = spark.createDataFrame([*URL_RULES, (None, "/", "block")], "host string, path string, verdict string")
     assert judged(spark, URLS, rules) == [brute(u, URL_RULES) for u in URLS]
+
+
+@pytest.mark.parametrize("block", [50_000, 1])
+def test_columns_of_any_name_are_kept(spark, block):
+    rules = [("com", "/", "block"), ("org", "/a", "block"), ("net", "/", "block")]
+    pages = spark.createDataFrame([("http://x.com/a", 1, 2, 3)] * 3, "`the url` string, _judged int, _block int, _salt int")
+    out = urls.filter_urls(pages, rules, url="the url", block=block)
+    assert [(r._judged, r._block, r._salt, r.rule) for r in out.collect()] == [(1, 2, 3, "com/")] * 3
