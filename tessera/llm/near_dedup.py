@@ -23,8 +23,8 @@
 
 Nothing is capped or gathered: buckets are aggregated before they are joined,
 and a bucket or component of any size is joined by plain equi-joins that Spark
-splits when they are skewed.  A link is lost only if fewer than AGREE bands of it
-agree; the classes' recall is measured in the tests.  Comparisons grow with the square of a
+splits when they are skewed.  A link is lost only if no band of it agrees, or by
+that bound; the classes' recall is measured in the tests.  Comparisons grow with the square of a
 bucket's nodes only as far as these aren't near copies of each other.
 
 Defined results: a document without words, or null, is a class of its own; one
@@ -47,7 +47,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import hashing as H
@@ -63,8 +63,10 @@ DRAWS = 4
 BINS = BANDS * ROWS
 #: A bucket's texts that those outside its largest component are compared with, in the first of the last rounds.
 PROBES = 16
-#: Bands that agree in a pair that the last rounds verify.
-AGREE = 3
+#: Standard deviations by which the samples of a pair may fall short of ``least`` in the last rounds.
+SIGMAS = 3.7
+#: Bytes of a mark (a byte for each sample) in one of its numbers; the highest byte stays free, so that sums don't overflow.
+PACKED = 7
 #: Documents that a group has if there are many, for shingles in RARE / 2 of them to say something.
 GROUP_BITS = 13
 #: Pairs for each text of a bucket up to which all that are left are compared at once.
@@ -73,6 +75,7 @@ FEW = 4
 BROADCAST = 64 << 20
 
 U = H.U
+_MARKS = -(-BINS // PACKED)
 _order = np.random.default_rng(20)
 #: For each bin the order in which it borrows from others.
 _BORROW = np.stack([_order.permutation(BINS) for _ in range(BINS)])
@@ -227,7 +230,7 @@ def digests(rows: np.ndarray, h: np.ndarray, count: np.ndarray, n: int) -> pa.Ar
 
 
 def sketches(docs: DataFrame, idf: Idf, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Rows id, digest (of the shingles and their counts; null without words) keys (one for each band) and weight."""
+    """Rows id, digest (of the shingles and their counts; null without words), keys (one for each band), weight, size (occurrences) and marks (a byte of each sample)."""
     kind = docs.schema[key].dataType.simpleString()
 
     def sketch(batches):
@@ -243,10 +246,16 @@ def sketches(docs: DataFrame, idf: Idf, key: str = "doc_id", text: str = "text")
                 keys = H.mix(keys + np.arange(1, BANDS + 1, dtype=U) * U(0xA0761D6478BD642F))
                 total = np.bincount(rows, weights=weights(h, count, idf), minlength=n)
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(0, n * BANDS + 1, BANDS, dtype=np.int32)), pa.array(keys.ravel().view(np.int64)))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, n), digests(rows, h, count, n), lists, pa.array(total.astype(np.float64))], names=["id", "digest", "keys", "weight"])
+                size = np.bincount(rows, weights=count, minlength=n).astype(np.int64)
+                low = np.zeros((n, _MARKS * PACKED), np.uint8)
+                low[:, :BINS] = own & U(0xFF)
+                packed = np.zeros((n, _MARKS, 8), np.uint8)
+                packed[:, :, :PACKED] = low.reshape(n, _MARKS, PACKED)
+                marks = pa.ListArray.from_arrays(pa.array(np.arange(0, n * _MARKS + 1, _MARKS, dtype=np.int32)), pa.array(packed.view("<i8").ravel()))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, n), digests(rows, h, count, n), lists, pa.array(total.astype(np.float64)), pa.array(size), marks], names=["id", "digest", "keys", "weight", "size", "marks"])
             tidy()
 
-    return docs.select(named(key).alias("id"), named(text).alias("t")).mapInArrow(sketch, f"id {kind}, digest binary, keys array<bigint>, weight double")
+    return docs.select(named(key).alias("id"), named(text).alias("t")).mapInArrow(sketch, f"id {kind}, digest binary, keys array<bigint>, weight double, size bigint, marks array<bigint>")
 
 
 def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
@@ -349,14 +358,25 @@ def components(links: DataFrame) -> DataFrame:
         edges = down.union(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct().checkpoint()
 
 
+def agreeing(a: Column, b: Column) -> Column:
+    """How many samples' marks are the same."""
+    ones, highest = F.lit(0x7F7F7F7F7F7F7F), F.lit(0x80808080808080)
+
+    def differ(x: Column, y: Column) -> Column:
+        both = x.bitwiseXOR(y)
+        return F.bit_count(((both.bitwiseAND(ones) + ones).bitwiseOR(both)).bitwiseAND(highest))
+
+    return F.lit(BINS) - F.aggregate(F.zip_with(a, b, differ), F.lit(0), lambda n, x: n + x)
+
+
 def rest(members: DataFrame, links: DataFrame, tried: DataFrame, marks: DataFrame, verify: Callable[[DataFrame], DataFrame], least: float) -> DataFrame:
-    """The links with those of all pairs of a bucket whose nodes are in different components; marks: node, weight and keys.
+    """The links with those of all pairs of a bucket whose nodes are in different components; marks: node, weight, size and marks.
 
     Growing numbers of a bucket's nodes are compared with those outside its
     largest component, as long as many pairs are left; then all pairs that are.
     """
-    low = F.transform("keys", lambda k: k.bitwiseAND(0x7FFF).cast("smallint"))
     some = PROBES
+    own = [F.col(c) for c in ("weight", "size", "marks")]
     while True:
         roots = components(links)
         at = members.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
@@ -367,13 +387,14 @@ def rest(members: DataFrame, links: DataFrame, tried: DataFrame, marks: DataFram
         if not buckets:
             return links
         last = left <= FEW * members.count() or some >= most
-        at = at.join(small(open_, buckets, 40), "key").join(marks.select("node", "weight", low.alias("low")), "node").checkpoint()
-        one = at.where("root <> top").select("key", F.col("node").alias("a"), F.col("root").alias("ra"), F.col("weight").alias("wa"), F.col("low").alias("la"))
+        at = at.join(small(open_, buckets, 40), "key").join(marks.select("node", *own), "node").checkpoint()
+        one = at.where("root <> top").select("key", F.col("node").alias("a"), F.col("root").alias("ra"), *(c.alias(f"a{i}") for i, c in enumerate(own)))
         two = at if last else at.where(F.pmod(F.xxhash64("key", "node"), F.lit(1 << 40)) < F.lit(float(some << 40)) / F.col("n"))
-        two = two.select("key", F.col("node").alias("b"), F.col("root").alias("rb"), F.col("weight").alias("wb"), F.col("low").alias("lb"))
-        # A similarity is at most the ratio of the weights.
-        agree = F.aggregate(F.zip_with("la", "lb", lambda x, y: (x == y).cast("int")), F.lit(0), lambda n, x: n + x)
-        pairs = one.join(two, "key").where("ra <> rb").where(F.least("wa", "wb") >= F.lit(least - 1e-9) * F.greatest("wa", "wb")).where(agree >= AGREE)
+        two = two.select("key", F.col("node").alias("b"), F.col("root").alias("rb"), *(c.alias(f"b{i}") for i, c in enumerate(own)))
+        # A similarity is at most the ratio of the weights, and about the share of samples that agree.
+        pairs = one.join(two, "key").where("ra <> rb").where(F.least("a0", "b0") >= F.lit(least - 1e-9) * F.greatest("a0", "b0"))
+        spread = F.sqrt(F.lit(least * (1 - least)) / F.least(F.col("a1"), F.col("b1"), F.lit(BINS)))
+        pairs = pairs.where(agreeing(F.col("a2"), F.col("b2")) >= BINS * (F.lit(least) - SIGMAS * spread))
         pairs = pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
         pairs = pairs.join(tried.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), ["a", "b"], "left_anti").checkpoint()
         links = links.union(verify(pairs)).checkpoint()
@@ -387,7 +408,7 @@ def classes(docs: DataFrame, least: float = 0.8, key: str = "doc_id", text: str
     idf = idf_of(docs, text)
     drawn = sketches(docs, idf, key, text).checkpoint()
     texts = drawn.where("digest is not null and id is not null").groupBy("digest")
-    reps = texts.agg(F.min("id").alias("id"), F.first("keys").alias("keys"), F.first("weight").alias("weight")).withColumn("node", F.monotonically_increasing_id()).checkpoint()
+    reps = texts.agg(F.min("id").alias("id"), F.first("keys").alias("keys"), *(F.first(c).alias(c) for c in ("weight", "size", "marks"))).withColumn("node", F.monotonically_increasing_id()).checkpoint()
     buckets = reps.select("node", F.explode("keys").alias("key"))
     shared = buckets.groupBy("key").agg(F.min("node").alias("b"), F.count("*").alias("n")).where("n > 1").select("key", "b")
     members = buckets.join(shared, "key").select("key", "node", "b").checkpoint()
@@ -404,7 +425,7 @@ def classes(docs: DataFrame, least: float = 0.8, key: str = "doc_id", text: str
     second = apart.select(F.explode(F.arrays_zip(F.col("drawn").alias("a"), F.col("top.drawn").alias("b"))).alias("p")).select("p.a", "p.b")
     second = second.distinct().join(first, ["a", "b"], "left_anti").checkpoint()
     links = links.union(verify(second)).checkpoint()
-    links = rest(members.select("key", "node"), links, first.union(second), reps.select("node", "weight", "keys"), verify, least)
+    links = rest(members.select("key", "node"), links, first.union(second), reps.select("node", "weight", "size", "marks"), verify, least)
     rooted = reps.select("digest", "node", "id").join(components(links), "node", "left").select("digest", "id", F.coalesce("root", "node").alias("root"))
     # Of equal smallest ids in a class, the one with the smallest digest stays.
     tops = rooted.groupBy("root").agg(F.min(F.struct("id", "digest")).alias("top"))
