@@ -65,8 +65,8 @@ BINS = BANDS * ROWS
 PROBES = 16
 #: Standard deviations by which the samples of a pair may fall short of ``least`` in the last rounds.
 SIGMAS = 3.7
-#: Bytes of a mark (a byte for each sample) in one of its numbers; the highest byte stays free, so that sums don't overflow.
-PACKED = 7
+#: Bits that a mark keeps of each sample.
+BITS = 2
 #: Documents that a group has if there are many, for shingles in RARE / 2 of them to say something.
 GROUP_BITS = 13
 #: Pairs for each text of a bucket up to which all that are left are compared at once.
@@ -75,7 +75,7 @@ FEW = 4
 BROADCAST = 64 << 20
 
 U = H.U
-_MARKS = -(-BINS // PACKED)
+_MARKS = BINS * BITS // 64
 _order = np.random.default_rng(20)
 #: For each bin the order in which it borrows from others.
 _BORROW = np.stack([_order.permutation(BINS) for _ in range(BINS)])
@@ -230,7 +230,7 @@ def digests(rows: np.ndarray, h: np.ndarray, count: np.ndarray, n: int) -> pa.Ar
 
 
 def sketches(docs: DataFrame, idf: Idf, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Rows id, digest (of the shingles and their counts; null without words), keys (one for each band), weight, size (occurrences) and marks (a byte of each sample)."""
+    """Rows id, digest (of the shingles and their counts; null without words), keys (one for each band), weight, size (occurrences) and marks (BITS bits of each sample)."""
     kind = docs.schema[key].dataType.simpleString()
 
     def sketch(batches):
@@ -247,11 +247,8 @@ def sketches(docs: DataFrame, idf: Idf, key: str = "doc_id", text: str = "text")
                 total = np.bincount(rows, weights=weights(h, count, idf), minlength=n)
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(0, n * BANDS + 1, BANDS, dtype=np.int32)), pa.array(keys.ravel().view(np.int64)))
                 size = np.bincount(rows, weights=count, minlength=n).astype(np.int64)
-                low = np.zeros((n, _MARKS * PACKED), np.uint8)
-                low[:, :BINS] = own & U(0xFF)
-                packed = np.zeros((n, _MARKS, 8), np.uint8)
-                packed[:, :, :PACKED] = low.reshape(n, _MARKS, PACKED)
-                marks = pa.ListArray.from_arrays(pa.array(np.arange(0, n * _MARKS + 1, _MARKS, dtype=np.int32)), pa.array(packed.view("<i8").ravel()))
+                low = (own & U((1 << BITS) - 1)).reshape(n, _MARKS, 64 // BITS) << np.arange(0, 64, BITS, dtype=U)
+                marks = pa.ListArray.from_arrays(pa.array(np.arange(0, n * _MARKS + 1, _MARKS, dtype=np.int32)), pa.array(np.bitwise_or.reduce(low, axis=2).ravel().view(np.int64)))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, n), digests(rows, h, count, n), lists, pa.array(total.astype(np.float64)), pa.array(size), marks], names=["id", "digest", "keys", "weight", "size", "marks"])
             tidy()
 
@@ -360,11 +357,9 @@ def components(links: DataFrame) -> DataFrame:
 
 def agreeing(a: Column, b: Column) -> Column:
     """How many samples' marks are the same."""
-    ones, highest = F.lit(0x7F7F7F7F7F7F7F), F.lit(0x80808080808080)
-
     def differ(x: Column, y: Column) -> Column:
         both = x.bitwiseXOR(y)
-        return F.bit_count(((both.bitwiseAND(ones) + ones).bitwiseOR(both)).bitwiseAND(highest))
+        return F.bit_count(both.bitwiseOR(F.shiftrightunsigned(both, 1)).bitwiseAND(0x5555555555555555))
 
     return F.lit(BINS) - F.aggregate(F.zip_with(a, b, differ), F.lit(0), lambda n, x: n + x)
 
@@ -387,14 +382,15 @@ def rest(members: DataFrame, links: DataFrame, tried: DataFrame, marks: DataFram
         if not buckets:
             return links
         last = left <= FEW * members.count() or some >= most
-        at = at.join(small(open_, buckets, 40), "key").join(marks.select("node", *own), "node").checkpoint()
+        at = at.join(small(open_, buckets, 40), "key").join(marks.select("node", *own), "node")
         one = at.where("root <> top").select("key", F.col("node").alias("a"), F.col("root").alias("ra"), *(c.alias(f"a{i}") for i, c in enumerate(own)))
         two = at if last else at.where(F.pmod(F.xxhash64("key", "node"), F.lit(1 << 40)) < F.lit(float(some << 40)) / F.col("n"))
         two = two.select("key", F.col("node").alias("b"), F.col("root").alias("rb"), *(c.alias(f"b{i}") for i, c in enumerate(own)))
         # A similarity is at most the ratio of the weights, and about the share of samples that agree.
         pairs = one.join(two, "key").where("ra <> rb").where(F.least("a0", "b0") >= F.lit(least - 1e-9) * F.greatest("a0", "b0"))
-        spread = F.sqrt(F.lit(least * (1 - least)) / F.least(F.col("a1"), F.col("b1"), F.lit(BINS)))
-        pairs = pairs.where(agreeing(F.col("a2"), F.col("b2")) >= BINS * (F.lit(least) - SIGMAS * spread))
+        share = least + (1 - least) / (1 << BITS)  # other samples' bits agree by chance
+        spread = F.sqrt(F.lit(share * (1 - share)) / F.least(F.col("a1"), F.col("b1"), F.lit(BINS)))
+        pairs = pairs.where(agreeing(F.col("a2"), F.col("b2")) >= BINS * (F.lit(share) - SIGMAS * spread))
         pairs = pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
         pairs = pairs.join(tried.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), ["a", "b"], "left_anti").checkpoint()
         links = links.union(verify(pairs)).checkpoint()

@@ -66,10 +66,8 @@ def test_each_pair_of_a_bucket_is_compared(spark, monkeypatch):
 
     prepare(spark)
     members = spark.createDataFrame([(7, i) for i in range(120)] + [(8, 3), (8, 119)], "key bigint, node bigint")
-    full, none = [7] * N._MARKS, [1 << 40] * N._MARKS  # marks that agree, and a text whose marks agree in six of seven only
-    marks = [(i, 1.0 if i < 119 else 0.5, 1000, full) for i in range(120)]
-    marks[118] = (118, 1.0, 1000, [0x01020304050607] * N._MARKS)
-    marks[117] = (117, 1.0, 1000, none)
+    marks = [(i, 1.0 if i < 119 else 0.5, 1000, [7] * N._MARKS) for i in range(120)]
+    marks[118] = (118, 1.0, 1000, [0x0123456789ABCDEF] * N._MARKS)
     marks = spark.createDataFrame(marks, "node bigint, weight double, size bigint, marks array<bigint>")
     links = spark.createDataFrame([(i, 0) for i in range(1, 40)], "a bigint, b bigint")
     true = {(i, i - 1) for i in range(41, 119, 2)}  # pairs outside the largest component
@@ -192,12 +190,11 @@ def test_a_passage_of_many_documents_weighs_less(spark):
 
 def test_marks_count_the_samples_that_agree(spark):
     r = np.random.default_rng(8)
-    a, b = (r.integers(0, 4, (50, N._MARKS * N.PACKED)).astype(np.uint8) for _ in range(2))
-    a[:, N.BINS :] = b[:, N.BINS :] = 0
-    pack = lambda x: [np.pad(v.reshape(-1, N.PACKED), ((0, 0), (0, 1))).view("<i8").ravel().tolist() for v in x]
+    a, b = (r.integers(0, 4, (50, N.BINS)).astype(np.uint64) for _ in range(2))
+    pack = lambda x: [[int(sum(int(m) << (2 * i) for i, m in enumerate(v[at : at + 32])) - (1 << 64 if v[at + 31] >= 2 else 0)) for at in range(0, N.BINS, 32)] for v in x]
     rows = spark.createDataFrame(list(zip(range(50), pack(a), pack(b), strict=True)), "i int, a array<bigint>, b array<bigint>")
     got = {x.i: x.n for x in rows.select("i", N.agreeing(rows.a, rows.b).alias("n")).collect()}
-    assert got == {i: int((a[i] == b[i])[: N.BINS].sum()) for i in range(50)}
+    assert got == {i: int((a[i] == b[i]).sum()) for i in range(50)}
     docs = spark.createDataFrame([(1, A, ""), (2, A + " " + A, ""), (3, None, "")], SCHEMA)
     drawn = {x.id: x for x in N.sketches(docs, N.Idf(np.empty(0, np.uint64), np.empty(0))).collect()}
     assert [drawn[i].size for i in (1, 2, 3)] == [3, 10, 0]
