@@ -39,7 +39,7 @@ from tessera.operators.order import morton_sorted
 #: Bytes of prepared polygons up to which they go to all tasks.
 BROADCAST = 64 << 20
 #: Candidates of a cell up to which they are gathered in one row.
-GATHERED = 1024
+GATHERED = 64
 #: Cells along an axis at most.
 MOST_CELLS = 1024
 
