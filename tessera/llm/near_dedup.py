@@ -23,7 +23,8 @@
 
 Nothing is capped or gathered: buckets are aggregated before they are joined,
 and a bucket or component of any size is joined by plain equi-joins that Spark
-splits when they are skewed.  A link is lost only if no band of it agrees, or by
+splits when they are skewed.  Texts are compared in blocks of bounded size, so a
+text of a large group is sent once for each block it meets and not for each pair.  A link is lost only if no band of it agrees, or by
 that bound; the classes' recall is measured in the tests.  Comparisons grow with the square of a
 bucket's nodes only as far as these aren't near copies of each other.
 
@@ -71,6 +72,8 @@ BITS = 2
 GROUP_BITS = 13
 #: Pairs for each text of a bucket up to which all that are left are compared at once.
 FEW = 4
+#: Occurrences of shingles in a block of texts that a task holds, and those that a text counts as at least.
+BLOCK, LEAST_SIZE = 1 << 18, 64
 #: Bytes of ids up to which they go to all tasks; beyond it, they are joined by a shuffle.
 BROADCAST = 64 << 20
 
@@ -281,10 +284,10 @@ def small(df: DataFrame, rows: int, width: int = 16) -> DataFrame:
     return F.broadcast(df) if rows * width <= BROADCAST else df
 
 
-def texts_of(nodes: DataFrame, docs: DataFrame, key: str, text: str) -> DataFrame:
-    """Rows node, t: a text of each node (rows node, id and digest)."""
+def texts_of(nodes: DataFrame, docs: DataFrame, repeated: bool, key: str, text: str) -> DataFrame:
+    """Rows node, t: a text of each node (rows node, id and digest); repeated: whether an id occurs on several rows."""
     met = docs.select(named(key).alias("id"), named(text).alias("t")).join(nodes, "id")
-    if not repeats(docs, key):
+    if not repeated:
         return met.select("node", "t")
 
     def own(batches):
@@ -300,36 +303,51 @@ def texts_of(nodes: DataFrame, docs: DataFrame, key: str, text: str) -> DataFram
     return same.groupBy("node").agg(F.min("t").alias("t"))
 
 
-def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, idf: Idf, least: float, key: str, text: str) -> DataFrame:
-    """The pairs of nodes (a, b) whose weighted Jaccard similarity is ``least`` or more."""
-    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
+def blocked(members: DataFrame, reps: DataFrame) -> DataFrame:
+    """Rows node, id, digest and block: nodes that share a smallest centre, cut by hash into blocks of about BLOCK occurrences."""
+    home = members.groupBy("node").agg(F.min("b").alias("home"))
+    at = reps.select("node", "id", "digest", "size").join(home, "node")
+    parts = at.groupBy("home").agg(F.ceil(F.sum(F.greatest("size", F.lit(LEAST_SIZE))) / BLOCK).alias("parts"))
+    block = F.xxhash64("home", F.pmod(F.xxhash64("node"), "parts")).alias("block")
+    return at.join(parts, "home").select("node", "id", "digest", block)
+
+
+def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, repeated: bool, idf: Idf, least: float, key: str, text: str) -> DataFrame:
+    """The pairs of nodes (a, b) whose weighted Jaccard similarity is ``least`` or more; nodes: those of ``blocked``.
+
+    A text is sent once to each two blocks that have pairs of it, and not once
+    for each pair; a task holds the texts of two blocks at a time.
+    """
     count = 2 * pairs.count()
+    block = nodes.select("node", "block")
+    met = pairs.join(block.withColumnsRenamed({"node": "a", "block": "x"}), "a").join(block.withColumnsRenamed({"node": "b", "block": "y"}), "b")
+    met = met.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"), "a", "b").checkpoint()
+    sent = met.select("x", "y", F.explode(F.array("a", "b")).alias("node")).distinct()
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     asked = nodes.select("node", "id", "digest").join(small(wanted, count), "node")
-    texts = texts_of(small(asked, count, 64), docs, key, text)
-    left = pairs.join(texts.withColumnsRenamed({"node": "a", "t": "ta"}), "a")
-    both = left.join(texts.withColumnsRenamed({"node": "b", "t": "tb"}), "b").select("a", "b", "ta", "tb")
+    texts = texts_of(small(asked, count, 64), docs, repeated, key, text).join(small(sent, count, 32), "node")
+    both = texts.select("x", "y", F.col("node").alias("a"), F.lit(None).cast("bigint").alias("b"), "t").unionByName(met.withColumn("t", F.lit(None).cast("string")))
 
     def check(batches):
-        last: tuple = (None, None)
+        group, sets = None, {}
         for batch in batches:
-            sizes = np.asarray(pc.add(*(pc.fill_null(pc.binary_length(batch.column(c)), 0) for c in ("ta", "tb"))), dtype=np.int64)
-            cut = np.searchsorted(np.cumsum(sizes), np.arange(2 << 20, int(sizes.sum()) + (2 << 20), 2 << 20), side="right").tolist()
-            bounds = sorted({0, *cut, batch.num_rows})
-            for x, y in zip(bounds, bounds[1:], strict=False):
-                part = batch.slice(x, y - x)
-                left_sets = _sets(plain(part.column("ta")), idf)
-                b = part.column("b").to_pylist()
-                keep = []
-                for i, one in enumerate(left_sets):
-                    if b[i] != last[0] or last[1] is None:
-                        last = (b[i], _sets(plain(part.column("tb").slice(i, 1)), idf)[0])
-                    keep.append(similarity(one, last[1]) >= least - 1e-12)
-                good = part.filter(pa.array(keep))
+            texts = plain(batch.column("t"))
+            for i, j in slices(texts):
+                part, keep = batch.slice(i, j - i), []
+                own = _sets(texts.slice(i, j - i), idf)
+                for x, y, a, b, one in zip(*(part.column(c).to_pylist() for c in "xyab"), own, strict=True):
+                    if group != (x, y):
+                        group, sets = (x, y), {}
+                    if b is None:
+                        sets[a] = one
+                    keep.append(b is not None and similarity(sets[a], sets[b]) >= least - 1e-12)
+                good = part.select(["a", "b"]).filter(pa.array(keep))
                 if good.num_rows:
-                    yield pa.RecordBatch.from_arrays([good.column("a"), good.column("b")], names=["a", "b"])
+                    yield good
             tidy()
 
-    return both.mapInArrow(check, "a bigint, b bigint")
+    # Of two blocks the texts come first, then the pairs.
+    return both.repartition("x", "y").sortWithinPartitions("x", "y", F.col("b").isNotNull()).mapInArrow(check, "a bigint, b bigint")
 
 
 def repeats(docs: DataFrame, key: str) -> bool:
@@ -408,7 +426,8 @@ def classes(docs: DataFrame, least: float = 0.8, key: str = "doc_id", text: str
     buckets = reps.select("node", F.explode("keys").alias("key"))
     shared = buckets.groupBy("key").agg(F.min("node").alias("b"), F.count("*").alias("n")).where("n > 1").select("key", "b")
     members = buckets.join(shared, "key").select("key", "node", "b").checkpoint()
-    verify = lambda pairs: verified(pairs, reps, docs, idf, least, key, text)
+    nodes, repeated = blocked(members, reps).checkpoint(), repeats(drawn, "id")
+    verify = lambda pairs: verified(pairs, nodes, docs, repeated, idf, least, key, text)
     first = members.where("node <> b").select(F.col("node").alias("a"), "b").distinct().checkpoint()
     links = verify(first).checkpoint()
     roots = components(links)

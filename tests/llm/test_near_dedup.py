@@ -223,3 +223,30 @@ def test_components_of_long_chains(spark):
     prepare(spark)
     got = {r.node: r.root for r in N.components(links).collect()}
     assert got == {**dict.fromkeys(range(1, 201), 0), 501: 500}
+
+
+def test_blocks_of_any_size_give_the_same(spark, monkeypatch):
+    docs = spark.createDataFrame(corpus(11)[:150], SCHEMA)
+    one = sorted(N.classes(docs).collect())
+    monkeypatch.setattr(N, "BLOCK", 300)  # one to four texts
+    assert sorted(N.classes(docs).collect()) == one
+    monkeypatch.setattr(N, "BROADCAST", 0)
+    assert sorted(N.classes(docs).collect()) == one
+
+
+def test_pairs_are_verified_once_each_by_their_own_texts(spark, monkeypatch):
+    from tessera.llm.common import prepare
+
+    prepare(spark)
+    monkeypatch.setattr(N, "BLOCK", 200)
+    rows = corpus(12)[:60]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    none = N.Idf(np.empty(0, np.uint64), np.empty(0))
+    reps = N.sketches(docs, none).withColumn("node", (N.F.col("id") / 3).cast("bigint")).checkpoint()
+    nodes = N.blocked(reps.select("node", N.F.lit(0).cast("bigint").alias("b")), reps).checkpoint()
+    assert 10 < nodes.select("block").distinct().count() <= 60
+    sets = N._sets(plain(pa.array([t for _, t, _ in rows])), none)
+    pairs = [(a, b) for a in range(60) for b in range(a)]
+    got = N.verified(spark.createDataFrame(pairs, "a bigint, b bigint"), nodes, docs, False, none, 0.5, "doc_id", "text").collect()
+    want = {p for p in pairs if N.similarity(sets[p[0]], sets[p[1]]) >= 0.5}
+    assert len(want) > 20 and len(got) == len(want) and {(r.a, r.b) for r in got} == want
