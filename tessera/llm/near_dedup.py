@@ -16,17 +16,17 @@
    weighted Jaccard similarity of ``least`` or more are linked.  A second round
    takes the buckets that still hold several components and compares nodes of
    each with nodes of the bucket's largest, DRAWS pairs drawn anew for each band.
-   Last rounds compare the nodes outside a bucket's largest component with more
-   and more of its nodes, at the end with all, so each pair of a bucket is
-   verified, lies in one component, or is excluded by its weights' ratio.
+   A last round compares the nodes outside a bucket's largest component with
+   all of its nodes, so each pair of a bucket is verified or lies in one component.
 5. Classes are the components of the links (large-star, small-star).
 
 Nothing is capped or gathered: buckets are aggregated before they are joined,
 and a bucket or component of any size is joined by plain equi-joins that Spark
 splits when they are skewed.  Texts are compared in blocks of bounded size, so a
-text of a large group is sent once for each block it meets and not for each pair.  A link is lost only if no band of it agrees, or by
-that bound; the classes' recall is measured in the tests.  Comparisons grow with the square of a
-bucket's nodes only as far as these aren't near copies of each other.
+text of a large group is sent once for each block it meets and not for each pair.  A link is lost only if no band of it agrees; the classes' recall is measured in
+the tests.  Comparisons grow with the square of a bucket's nodes only as far as
+these aren't near copies of each other; they are made in a task's memory, and
+only links become rows.
 
 Defined results: a document without words, or null, is a class of its own; one
 of 1 to 4 words is a single shingle; very long texts are read whole; an empty
@@ -42,13 +42,12 @@ without words all).
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import hashing as H
@@ -62,23 +61,14 @@ BANDS, ROWS = 32, 5
 #: Comparisons of a component with its bucket's largest in the second round.
 DRAWS = 4
 BINS = BANDS * ROWS
-#: A bucket's texts that those outside its largest component are compared with, in the first of the last rounds.
-PROBES = 16
-#: Standard deviations by which the samples of a pair may fall short of ``least`` in the last rounds.
-SIGMAS = 3.7
-#: Bits that a mark keeps of each sample.
-BITS = 2
 #: Documents that a group has if there are many, for shingles in RARE / 2 of them to say something.
 GROUP_BITS = 13
-#: Pairs for each text of a bucket up to which all that are left are compared at once.
-FEW = 4
 #: Occurrences of shingles in a block of texts that a task holds, and those that a text counts as at least.
 BLOCK, LEAST_SIZE = 1 << 18, 64
 #: Bytes of ids up to which they go to all tasks; beyond it, they are joined by a shuffle.
 BROADCAST = 64 << 20
 
 U = H.U
-_MARKS = BINS * BITS // 64
 _order = np.random.default_rng(20)
 #: For each bin the order in which it borrows from others.
 _BORROW = np.stack([_order.permutation(BINS) for _ in range(BINS)])
@@ -233,7 +223,7 @@ def digests(rows: np.ndarray, h: np.ndarray, count: np.ndarray, n: int) -> pa.Ar
 
 
 def sketches(docs: DataFrame, idf: Idf, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Rows id, digest (of the shingles and their counts; null without words), keys (one for each band), weight, size (occurrences) and marks (BITS bits of each sample)."""
+    """Rows id, digest (of the shingles and their counts; null without words), keys (one for each band) and size (occurrences)."""
     kind = docs.schema[key].dataType.simpleString()
 
     def sketch(batches):
@@ -247,15 +237,12 @@ def sketches(docs: DataFrame, idf: Idf, key: str = "doc_id", text: str = "text")
                 for k in range(ROWS):
                     keys += own[:, k * BANDS : (k + 1) * BANDS] * H._PLACES[k]
                 keys = H.mix(keys + np.arange(1, BANDS + 1, dtype=U) * U(0xA0761D6478BD642F))
-                total = np.bincount(rows, weights=weights(h, count, idf), minlength=n)
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(0, n * BANDS + 1, BANDS, dtype=np.int32)), pa.array(keys.ravel().view(np.int64)))
                 size = np.bincount(rows, weights=count, minlength=n).astype(np.int64)
-                low = (own & U((1 << BITS) - 1)).reshape(n, _MARKS, 64 // BITS) << np.arange(0, 64, BITS, dtype=U)
-                marks = pa.ListArray.from_arrays(pa.array(np.arange(0, n * _MARKS + 1, _MARKS, dtype=np.int32)), pa.array(np.bitwise_or.reduce(low, axis=2).ravel().view(np.int64)))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, n), digests(rows, h, count, n), lists, pa.array(total.astype(np.float64)), pa.array(size), marks], names=["id", "digest", "keys", "weight", "size", "marks"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, n), digests(rows, h, count, n), lists, pa.array(size)], names=["id", "digest", "keys", "size"])
             tidy()
 
-    return docs.select(named(key).alias("id"), named(text).alias("t")).mapInArrow(sketch, f"id {kind}, digest binary, keys array<bigint>, weight double, size bigint, marks array<bigint>")
+    return docs.select(named(key).alias("id"), named(text).alias("t")).mapInArrow(sketch, f"id {kind}, digest binary, keys array<bigint>, size bigint")
 
 
 def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
@@ -373,48 +360,75 @@ def components(links: DataFrame) -> DataFrame:
         edges = down.union(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct().checkpoint()
 
 
-def agreeing(a: Column, b: Column) -> Column:
-    """How many samples' marks are the same."""
-    def differ(x: Column, y: Column) -> Column:
-        both = x.bitwiseXOR(y)
-        return F.bit_count(both.bitwiseOR(F.shiftrightunsigned(both, 1)).bitwiseAND(0x5555555555555555))
+def near(sets: list[tuple[np.ndarray, np.ndarray]], root: np.ndarray, one: np.ndarray, two: np.ndarray, least: float) -> list[tuple[int, int]]:
+    """The pairs of a place in ``one`` and a place in ``two`` with different roots and a similarity of ``least`` or more.
 
-    return F.lit(BINS) - F.aggregate(F.zip_with(a, b, differ), F.lit(0), lambda n, x: n + x)
+    Common weights are summed over an index of the shingles of ``two``.
+    """
+    if not len(one) or not len(two):
+        return []
+    h, w = (np.concatenate([sets[j][k] for j in two]) for k in (0, 1))
+    at = np.repeat(np.arange(len(two)), [len(sets[j][0]) for j in two])
+    order = np.argsort(h, kind="stable")
+    h, w, at = h[order], w[order], at[order]
+    total, out = np.array([sets[j][1].sum() for j in two]), []
+    for i in one.tolist():
+        hi, wi = sets[i]
+        start = np.searchsorted(h, hi)
+        n = np.searchsorted(h, hi, "right") - start
+        met = np.repeat(start - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        common = np.bincount(at[met], np.minimum(w[met], np.repeat(wi, n)), minlength=len(two))
+        enough = common >= (least - 1e-12) * (wi.sum() + total - common)
+        out += [(i, j) for j in two[enough & (root[two] != root[i])].tolist()]
+    return out
 
 
-def rest(members: DataFrame, links: DataFrame, tried: DataFrame, marks: DataFrame, verify: Callable[[DataFrame], DataFrame], least: float) -> DataFrame:
-    """The links with those of all pairs of a bucket whose nodes are in different components; marks: node, weight, size and marks.
+def rest(members: DataFrame, links: DataFrame, nodes: DataFrame, docs: DataFrame, repeated: bool, idf: Idf, least: float, key: str, text: str) -> DataFrame:
+    """The links with those of all pairs of a bucket whose nodes are in different components; nodes: those of ``blocked``.
 
-    Growing numbers of a bucket's nodes are compared with those outside its
-    largest component, as long as many pairs are left; then all pairs that are.
+    Nodes outside a bucket's largest component are compared with all of its
+    nodes, block by block: two blocks that share such a bucket go to one task.
+    Only links become rows.
     """
-    some = PROBES
-    own = [F.col(c) for c in ("weight", "size", "marks")]
-    while True:
-        roots = components(links)
-        at = members.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
-        parts = at.groupBy("key", "root").agg(F.count("*").alias("n"))
-        open_ = parts.groupBy("key").agg(F.max_by("root", F.struct("n", "root")).alias("top"), F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("same"), F.count("*").alias("parts"))
-        open_ = open_.where("parts > 1").select("key", "top", "n", ((F.col("n") * F.col("n") - F.col("same")) / 2).alias("apart")).checkpoint()
-        left, most, buckets = open_.agg(F.coalesce(F.sum("apart"), F.lit(0)), F.coalesce(F.max("n"), F.lit(0)), F.count("*")).first()
-        if not buckets:
-            return links
-        last = left <= FEW * members.count() or some >= most
-        at = at.join(small(open_, buckets, 40), "key").join(marks.select("node", *own), "node")
-        one = at.where("root <> top").select("key", F.col("node").alias("a"), F.col("root").alias("ra"), *(c.alias(f"a{i}") for i, c in enumerate(own)))
-        two = at if last else at.where(F.pmod(F.xxhash64("key", "node"), F.lit(1 << 40)) < F.lit(float(some << 40)) / F.col("n"))
-        two = two.select("key", F.col("node").alias("b"), F.col("root").alias("rb"), *(c.alias(f"b{i}") for i, c in enumerate(own)))
-        # A similarity is at most the ratio of the weights, and about the share of samples that agree.
-        pairs = one.join(two, "key").where("ra <> rb").where(F.least("a0", "b0") >= F.lit(least - 1e-9) * F.greatest("a0", "b0"))
-        share = least + (1 - least) / (1 << BITS)  # other samples' bits agree by chance
-        spread = F.sqrt(F.lit(share * (1 - share)) / F.least(F.col("a1"), F.col("b1"), F.lit(BINS)))
-        pairs = pairs.where(agreeing(F.col("a2"), F.col("b2")) >= BINS * (F.lit(share) - SIGMAS * spread))
-        pairs = pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-        pairs = pairs.join(tried.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), ["a", "b"], "left_anti").checkpoint()
-        links = links.union(verify(pairs)).checkpoint()
-        if last:
-            return links
-        tried, some = tried.union(pairs), some * 16
+    at = members.join(components(links), "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
+    parts = at.groupBy("key", "root").agg(F.count("*").alias("n"))
+    open_ = parts.groupBy("key").agg(F.max_by("root", F.struct("n", "root")).alias("top"), F.count("*").alias("n")).where("n > 1").select("key", "top").checkpoint()
+    at = at.join(small(open_, open_.count()), "key").join(nodes, "node").withColumn("out", F.col("root") != F.col("top")).checkpoint()
+    one, two = at.where("out").select("key", F.col("block").alias("x")).distinct(), at.select("key", F.col("block").alias("y")).distinct()
+    met = one.join(two, "key").select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct().checkpoint()
+    asked = at.groupBy("node", "id", "digest", "block", "root").agg(F.max("out").alias("out")).checkpoint()
+    into = met.select(F.col("x").alias("block"), "x", "y").union(met.where("x <> y").select(F.col("y").alias("block"), "x", "y"))
+    sent = asked.select("node", "block", "root", "out").join(small(into, 2 * met.count(), 40), "block")
+    texts = texts_of(small(asked.select("node", "id", "digest"), asked.count(), 64), docs, repeated, key, text)
+    both = texts.join(small(sent, sent.count(), 64), "node").select("x", "y", "block", "node", "root", "out", "t")
+
+    def compare(rows: list[tuple], sets: list) -> pa.RecordBatch:
+        x, y, block, node, root, out = (np.array(c) for c in zip(*rows, strict=True))
+        left, right = block == x, block == y
+        found = near(sets, root, np.flatnonzero(left & out), np.flatnonzero(right), least)
+        if x[0] != y[0]:
+            found += near(sets, root, np.flatnonzero(right & out), np.flatnonzero(left & ~out), least)
+        a, b = node[np.array(found, np.int64).reshape(-1, 2).T]
+        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
+    def check(batches):
+        rows, sets = [], []
+        for batch in batches:
+            texts = plain(batch.column("t"))
+            for i, j in slices(texts):
+                part = batch.slice(i, j - i)
+                own = zip(*(part.column(c).to_pylist() for c in ("x", "y", "block", "node", "root", "out")), strict=True)
+                for row, one in zip(own, _sets(texts.slice(i, j - i), idf), strict=True):
+                    if rows and rows[-1][:2] != row[:2]:
+                        yield compare(rows, sets)
+                        rows, sets = [], []
+                    rows.append(row)
+                    sets.append(one)
+            tidy()
+        if rows:
+            yield compare(rows, sets)
+
+    return links.union(both.repartition("x", "y").sortWithinPartitions("x", "y").mapInArrow(check, "a bigint, b bigint"))
 
 
 def classes(docs: DataFrame, least: float = 0.8, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -422,7 +436,7 @@ def classes(docs: DataFrame, least: float = 0.8, key: str = "doc_id", text: str
     idf = idf_of(docs, text)
     drawn = sketches(docs, idf, key, text).checkpoint()
     texts = drawn.where("digest is not null and id is not null").groupBy("digest")
-    reps = texts.agg(F.min("id").alias("id"), F.first("keys").alias("keys"), *(F.first(c).alias(c) for c in ("weight", "size", "marks"))).withColumn("node", F.monotonically_increasing_id()).checkpoint()
+    reps = texts.agg(F.min("id").alias("id"), F.first("keys").alias("keys"), F.first("size").alias("size")).withColumn("node", F.monotonically_increasing_id()).checkpoint()
     buckets = reps.select("node", F.explode("keys").alias("key"))
     shared = buckets.groupBy("key").agg(F.min("node").alias("b"), F.count("*").alias("n")).where("n > 1").select("key", "b")
     members = buckets.join(shared, "key").select("key", "node", "b").checkpoint()
@@ -440,7 +454,7 @@ def classes(docs: DataFrame, least: float = 0.8, key: str = "doc_id", text: str
     second = apart.select(F.explode(F.arrays_zip(F.col("drawn").alias("a"), F.col("top.drawn").alias("b"))).alias("p")).select("p.a", "p.b")
     second = second.distinct().join(first, ["a", "b"], "left_anti").checkpoint()
     links = links.union(verify(second)).checkpoint()
-    links = rest(members.select("key", "node"), links, first.union(second), reps.select("node", "weight", "size", "marks"), verify, least)
+    links = rest(members.select("key", "node"), links, nodes, docs, repeated, idf, least, key, text).checkpoint()
     rooted = reps.select("digest", "node", "id").join(components(links), "node", "left").select("digest", "id", F.coalesce("root", "node").alias("root"))
     # Of equal smallest ids in a class, the one with the smallest digest stays.
     tops = rooted.groupBy("root").agg(F.min(F.struct("id", "digest")).alias("top"))

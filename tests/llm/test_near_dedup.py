@@ -62,29 +62,33 @@ def test_classes_against_all_pairs(spark):
 
 
 def test_each_pair_of_a_bucket_is_compared(spark, monkeypatch):
+    """Links of two nodes outside the largest component, or of one with it, whatever the blocks."""
     from tessera.llm.common import prepare
 
     prepare(spark)
-    members = spark.createDataFrame([(7, i) for i in range(120)] + [(8, 3), (8, 119)], "key bigint, node bigint")
-    marks = [(i, 1.0 if i < 119 else 0.5, 1000, [7] * N._MARKS) for i in range(120)]
-    marks[118] = (118, 1.0, 1000, [0x0123456789ABCDEF] * N._MARKS)
-    marks = spark.createDataFrame(marks, "node bigint, weight double, size bigint, marks array<bigint>")
-    links = spark.createDataFrame([(i, 0) for i in range(1, 40)], "a bigint, b bigint")
-    true = {(i, i - 1) for i in range(41, 119, 2)}  # pairs outside the largest component
-    for few in (0, 1000):
-        monkeypatch.setattr(N, "FEW", few)
-        seen = []
-
-        def verify(pairs):
-            seen.extend((r.a, r.b) for r in pairs.collect())
-            return pairs.where("a = b + 1 and a > 40 and a % 2 = 1")
-
-        got = N.rest(members, links, links, marks, verify, 0.8).collect()
-        assert {(r.a, r.b) for r in got} == true | {(i, 0) for i in range(1, 40)}
-        assert len(seen) == len(set(seen))
-        assert not any(119 in p for p in seen)  # its weight is too small
-        assert not any(118 in p for p in seen)  # too few of its samples agree
-        assert {(a, b) for a in range(40, 118) for b in range(40, a)} <= set(seen)
+    r = random.Random(7)
+    base, rows = words(r, 60), []
+    for i in range(120):
+        own = list(base)
+        for _ in range(r.choice((1, 2, 4, 8))):
+            own[r.randrange(60)] = words(r, 1)[0]
+        rows.append((i, " ".join(own), ""))
+    docs = spark.createDataFrame(rows, SCHEMA)
+    none = N.Idf(np.empty(0, np.uint64), np.empty(0))
+    reps = N.sketches(docs, none).withColumn("node", N.F.col("id")).checkpoint()
+    members = spark.createDataFrame([(7, i) for i in range(100)] + [(8, i) for i in range(90, 120)], "key bigint, node bigint")
+    sets = N._sets(plain(pa.array([t for _, t, _ in rows])), none)
+    true = {(a, b) for a in range(120) for b in range(a) if N.similarity(sets[a], sets[b]) >= 0.8}
+    shared = {(a, b) for a, b in true if a < 100 or b >= 90}
+    for block in (1 << 18, 300):
+        monkeypatch.setattr(N, "BLOCK", block)
+        nodes = N.blocked(reps.select("node", N.F.lit(0).cast("bigint").alias("b")), reps).checkpoint()
+        assert (nodes.select("block").distinct().count() == 1) == (block > 300)
+        for given in ([], [(i, 0) for i in range(1, 40)]):
+            links = spark.createDataFrame(given, "a bigint, b bigint")
+            got = {(max(r.a, r.b), min(r.a, r.b)) for r in N.rest(members, links, nodes, docs, False, none, 0.8, "doc_id", "text").collect()}
+            assert len(shared) > 50 and got - set(given) <= true
+            assert {(a, b) for a, b in shared if not given or a >= 40} <= got  # all but those within a component
 
 
 def test_joins_beyond_the_bound_give_the_same(spark, monkeypatch):
@@ -188,17 +192,10 @@ def test_a_passage_of_many_documents_weighs_less(spark):
     assert {x.class_id for x in N.classes(docs).collect()} == set(range(60))
 
 
-def test_marks_count_the_samples_that_agree(spark):
-    r = np.random.default_rng(8)
-    a, b = (r.integers(0, 4, (50, N.BINS)).astype(np.uint64) for _ in range(2))
-    pack = lambda x: [[int(sum(int(m) << (2 * i) for i, m in enumerate(v[at : at + 32])) - (1 << 64 if v[at + 31] >= 2 else 0)) for at in range(0, N.BINS, 32)] for v in x]
-    rows = spark.createDataFrame(list(zip(range(50), pack(a), pack(b), strict=True)), "i int, a array<bigint>, b array<bigint>")
-    got = {x.i: x.n for x in rows.select("i", N.agreeing(rows.a, rows.b).alias("n")).collect()}
-    assert got == {i: int((a[i] == b[i]).sum()) for i in range(50)}
+def test_sizes_are_occurrences(spark):
     docs = spark.createDataFrame([(1, A, ""), (2, A + " " + A, ""), (3, None, "")], SCHEMA)
     drawn = {x.id: x for x in N.sketches(docs, N.Idf(np.empty(0, np.uint64), np.empty(0))).collect()}
     assert [drawn[i].size for i in (1, 2, 3)] == [3, 10, 0]
-    assert all(len(x.marks) == N._MARKS for x in drawn.values())
 
 
 def test_samples_agree_as_often_as_weighted_sets_do():
