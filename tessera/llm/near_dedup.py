@@ -41,6 +41,7 @@ without words all).
 
 from __future__ import annotations
 
+import gc
 import math
 from dataclasses import dataclass
 
@@ -65,6 +66,8 @@ BINS = BANDS * ROWS
 GROUP_BITS = 13
 #: Occurrences of shingles in a block of texts that a task holds, and those that a text counts as at least.
 BLOCK, LEAST_SIZE = 1 << 18, 64
+#: Steps towards a node's home, each twice as far as the one before.
+HOPS = 4
 #: Bytes of ids up to which they go to all tasks; beyond it, they are joined by a shuffle.
 BROADCAST = 64 << 20
 
@@ -291,8 +294,14 @@ def texts_of(nodes: DataFrame, docs: DataFrame, repeated: bool, key: str, text:
 
 
 def blocked(members: DataFrame, reps: DataFrame) -> DataFrame:
-    """Rows node, id, digest and block: nodes that share a smallest centre, cut by hash into blocks of about BLOCK occurrences."""
-    home = members.groupBy("node").agg(F.min("b").alias("home"))
+    """Rows node, id, digest and block: nodes of a home, cut by hash into blocks of about BLOCK occurrences.
+
+    A node's home is the smallest centre of its buckets, followed to that one's home and on.
+    """
+    home = members.groupBy("node").agg(F.min("b").alias("home")).checkpoint()
+    for _ in range(HOPS):
+        onward = home.select(F.col("node").alias("home"), F.col("home").alias("next"))
+        home = home.join(onward, "home").select("node", F.col("next").alias("home")).checkpoint()
     at = reps.select("node", "id", "digest", "size").join(home, "node")
     parts = at.groupBy("home").agg(F.ceil(F.sum(F.greatest("size", F.lit(LEAST_SIZE))) / BLOCK).alias("parts"))
     block = F.xxhash64("home", F.pmod(F.xxhash64("node"), "parts")).alias("block")
@@ -343,6 +352,12 @@ def repeats(docs: DataFrame, key: str) -> bool:
     return ids.groupBy("id").count().where("count > 1").limit(1).count() > 0
 
 
+def release(df: DataFrame) -> None:
+    """Collects the driver's garbage, upon which Spark deletes the files of shuffles that nothing refers to any more."""
+    gc.collect()
+    df.sparkSession.sparkContext._jvm.System.gc()
+
+
 def components(links: DataFrame) -> DataFrame:
     """Rows node, root: for each linked node the smallest of its component."""
     edges = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct().checkpoint()
@@ -350,6 +365,7 @@ def components(links: DataFrame) -> DataFrame:
     while True:
         state = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % 1_000_003)).first()
         if before is not None and tuple(state) == before:
+            release(links)
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
         before = tuple(state)
         near = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -454,6 +470,7 @@ def classes(docs: DataFrame, least: float = 0.8, key: str = "doc_id", text: str
     second = apart.select(F.explode(F.arrays_zip(F.col("drawn").alias("a"), F.col("top.drawn").alias("b"))).alias("p")).select("p.a", "p.b")
     second = second.distinct().join(first, ["a", "b"], "left_anti").checkpoint()
     links = links.union(verify(second)).checkpoint()
+    release(docs)
     links = rest(members.select("key", "node"), links, nodes, docs, repeated, idf, least, key, text).checkpoint()
     rooted = reps.select("digest", "node", "id").join(components(links), "node", "left").select("digest", "id", F.coalesce("root", "node").alias("root"))
     # Of equal smallest ids in a class, the one with the smallest digest stays.
