@@ -45,6 +45,11 @@ def per_polygon(classified: DataFrame) -> DataFrame:
     return classified.groupBy("polygon_id").agg(F.count("*").alias("points"))
 
 
+def fullest(classified: DataFrame, k: int) -> DataFrame:
+    """The k polygons with most points, ties to the smaller id; counts are merged first and k rows of each task after."""
+    return per_polygon(classified.where("polygon_id is not null")).orderBy(F.desc("points"), "polygon_id").limit(k)
+
+
 def imbalance(classified: DataFrame, domain: Domain, n: int) -> DataFrame:
     """Share of each stripe and the largest stripe over the mean."""
     counts = classified.withColumn("stripe", C.stripe_of(F.col("x"), domain.min_x, domain.max_x, n)).groupBy("stripe").agg(F.count("*").alias("points"))

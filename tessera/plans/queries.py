@@ -92,6 +92,11 @@ register("agg_summary", lambda s, d: A.summary(_classified(s, d, "events")), SUM
 register("agg_checksum_hex", lambda s, d: A.summary(_classified(s, d)).select("points", "checksum"), f"SELECT points, checksum FROM ({O.summary_sql(O.grid_classified('orders'))})")
 register("agg_per_stripe", lambda s, d: A.per_stripe(_classified(s, d, "events"), D, 4), O.summary_sql(O.grid_classified("events"), O.STRIPE))
 register("agg_per_polygon", lambda s, d: A.per_polygon(_classified(s, d, "events")), f"WITH {O.grid_classified('events')} SELECT polygon_id, count(*) AS points FROM classified GROUP BY polygon_id")
+register(
+    "agg_fullest_polygons",
+    lambda s, d: A.fullest(_classified(s, d, "events"), 7),
+    f"WITH {O.grid_classified('events')} SELECT polygon_id, count(*) AS points FROM classified WHERE polygon_id IS NOT NULL GROUP BY polygon_id ORDER BY points DESC, polygon_id LIMIT 7",
+)
 register(
     "agg_imbalance",
     lambda s, d: A.imbalance(_classified(s, d, "events"), D, 4),

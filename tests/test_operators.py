@@ -151,3 +151,11 @@ def test_repeated_points_and_extra_columns(spark):
     points = spark.createDataFrame([(1, 8.0, 8.0, "a"), (1, 8.0, 8.0, "a"), (2, 99.0, 99.0, "b")], POINTS + ", near string")
     rows = join.classify(points, fixtures.shapes(spark)).collect()
     assert sorted((r.point_id, r.polygon_id, r.near) for r in rows if r.polygon_id) == [(1, 1, "a"), (1, 1, "a")]
+
+
+def test_fullest_breaks_ties_by_id_and_skips_the_unmatched(spark):
+    rows = [(2,), (2,), (1,), (1,), (3,), (None,), (None,), (None,)]
+    found = spark.createDataFrame(rows, "polygon_id bigint")
+    assert [tuple(r) for r in aggregate.fullest(found, 2).collect()] == [(1, 2), (2, 2)]
+    assert aggregate.fullest(found, 9).count() == 3
+    assert aggregate.fullest(found.limit(0), 2).count() == 0
